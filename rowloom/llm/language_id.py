@@ -67,8 +67,13 @@ def _slots(keys: np.ndarray, hashes: int, size: int):
 
 
 def byte_grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a slice's texts in order, and where each text's begin; white space counts as one kind of byte."""
-    data = np.where(space_mask(s.data), np.uint8(32), lowered(s.data)).astype(np.uint32)
+    """The n-grams of a slice's texts in order, and where each text's begin.
+
+    White space counts as one kind of byte, and every text has one such byte before and after it.
+    """
+    data = np.where(space_mask(s.data), np.uint8(32), lowered(s.data))
+    data = np.insert(data, np.sort(np.concatenate([s.offsets[:-1], s.offsets[1:]])), np.uint8(32)).astype(np.uint32)
+    offsets = s.offsets + 2 * np.arange(len(s) + 1)
     m = len(data) - LENGTH + 1
     if m <= 0:
         return np.zeros(0, np.uint32), np.zeros(len(s) + 1, np.int64)
@@ -76,9 +81,9 @@ def byte_grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     for k in range(LENGTH):
         keys = (keys << np.uint32(8)) | data[k : k + m]
     inner = np.zeros(m, bool)
-    for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True):
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         inner[a : max(a, b - LENGTH + 1)] = True
-    cuts = np.concatenate([[0], np.cumsum(inner)])[np.minimum(s.offsets, m)]
+    cuts = np.concatenate([[0], np.cumsum(inner)])[np.minimum(offsets, m)]
     return keys[inner], cuts
 
 
