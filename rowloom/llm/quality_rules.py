@@ -1,8 +1,8 @@
 """Quality rules as weak supervision: rules vote or abstain, and EM weighs the rules.
 
 Every rule looks at one document and votes good (1), bad (-1) or nothing (0). A latent label explains the votes:
-rule j, when it votes, is right with probability a_j. EM over the *counts of vote patterns* (at most 3**rules of them,
-however many documents there are) estimates the accuracies and the share of good documents; a document's posterior
+rule j votes v on a document of label y with probability a_jyv. EM over the *counts of vote patterns* (at most 3**rules
+of them, however many documents there are) estimates these and the share of good documents; a document's posterior
 probability then replaces the usual demand that all rules pass.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ WINDOW = 5
 
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_word_lines", "n_ended_lines", "n_digits",
+    "n_upper", "n_letters", "n_exclaims",
 ]
 
 
@@ -44,6 +45,9 @@ def measure(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
             "n_symbols": per_doc(np.isin(data, np.frombuffer(SYMBOLS, np.uint8))),
             "n_letter_words": np.bincount(w.doc, letter_sum[w.end] > letter_sum[w.start], n).astype(np.int64),
             "n_digits": per_doc((data >= 48) & (data <= 57)),
+            "n_upper": per_doc((data >= 65) & (data <= 90)),
+            "n_letters": per_doc(((data | 32) >= 97) & ((data | 32) <= 122)),
+            "n_exclaims": per_doc(data == 33),
         }
         # lines: a start after each \n and at each text's start, an end at each \n and at each text's end
         breaks = np.flatnonzero(data == 10)
@@ -91,55 +95,65 @@ def rules() -> dict[str, Column]:
     length, symbols = _ratio("word_chars", "n_words"), _ratio("n_symbols", "n_words")
     copied, repeated = _ratio("n_dup_lines", "n_word_lines"), _ratio("n_repeat_words", "n_words")
     lettered, ended, digits = _ratio("n_letter_words", "n_words"), _ratio("n_ended_lines", "n_word_lines"), _ratio("n_digits", "word_chars")
+    upper, shouted = _ratio("n_upper", "n_letters"), _ratio("n_exclaims", "n_words")
+    never = F.lit(False)
     return {
-        "word_count": _vote(F.col("n_words"), F.col("n_words") < 20, F.col("n_words") >= 50),
-        "word_length": _vote(length, (length < 3) | (length > 10), (length >= 3.5) & (length <= 8)),
+        "word_count": _vote(F.col("n_words"), F.col("n_words") < 10, F.col("n_words") >= 50),
+        "word_length": _vote(length, (length < 2) | (length > 15), (length >= 3.5) & (length <= 8)),
         "symbols": _vote(symbols, symbols > 0.1, symbols <= 0.02),
-        "copied_lines": _vote(copied, copied > 0.3, copied <= 0.1),
+        "copied_lines": _vote(copied, copied > 0.5, copied <= 0.1),
         "repeated_words": _vote(repeated, repeated > 0.2, repeated <= 0.1),
-        "letters": _vote(lettered, lettered < 0.8, lettered >= 0.95),
-        "line_ends": _vote(ended, ended < 0.12, ended >= 0.5),
-        "digits": _vote(digits, digits > 0.15, digits <= 0.05),
+        "letters": _vote(lettered, lettered < 0.6, lettered >= 0.9),
+        "line_ends": _vote(ended, never, ended >= 0.5),
+        "digits": _vote(digits, digits > 0.3, digits <= 0.1),
+        "capitals": _vote(upper, (upper > 0.5) & (F.col("n_letters") >= 20), upper <= 0.2),
+        "exclaims": _vote(shouted, shouted > 0.3, shouted <= 0.1),
     }
 
 
 @dataclass
 class LabelModel:
-    """Accuracies of the rules and the share of good documents."""
+    """What each vote says about a document: its likelihood given a good document over that given a bad one."""
 
-    accuracy: list[float]
-    good: float = 0.8
-    rounds: int = field(default=0, compare=False)
+    good: float  # share of good documents
+    ratios: np.ndarray  # rules x (bad vote, no vote, good vote): log likelihood ratios
+    likely: np.ndarray  # label (bad, good) x rules x vote
+    rounds: int = 0
+
+    #: Imagined votes behind each rule, as shares of all documents: they decide where the data say nothing.
+    PRIOR = np.array([[0.15, 0.10, 0.75], [0.002, 0.098, 0.90]])
+    STRENGTH = 0.01
 
     @classmethod
     def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> LabelModel:
         """EM over distinct vote patterns (rows of -1, 0, 1) and how often each occurs.
 
-        Accuracies stay in [0.55, 0.99], so that the two labels cannot change places; eight imagined votes of
-        accuracy 0.75 stand behind each rule, and decide if nothing else does.
+        A rule's accuracy is estimated for each label, since a bad vote on a good document is much rarer than a good
+        vote on a bad one. So that the labels keep their meaning, a bad vote speaks against a document by a factor of
+        5 to 200, a good vote for it by 1 to 1.3, and an abstention by at most 2 either way.
         """
-        m = patterns.shape[1]
-        a, good = np.full(m, 0.75), 0.8
-        total = counts.sum()
-        done = 0
-        for done in range(1, rounds + 1):
-            weight = np.log(a / (1 - a))
-            p = 1 / (1 + np.exp(-np.clip(math.log(good / (1 - good)) + patterns @ weight, -500, 500)))
-            right = ((patterns == 1) * p[:, None] + (patterns == -1) * (1 - p)[:, None]) * counts[:, None]
-            voted = (patterns != 0) * counts[:, None]
-            now = np.clip((right.sum(0) + 6) / (voted.sum(0) + 8), 0.55, 0.99)
-            share = float(np.clip(((p * counts).sum() + 8) / (total + 10), 0.05, 0.95))
-            moved = max(np.abs(now - a).max(initial=0), abs(share - good))
-            a, good = now, share
-            if moved < tolerance:
-                break
-        return cls(a.tolist(), good, done)
+        votes = np.stack([(patterns == v) for v in (-1, 0, 1)], 2).astype(float)  # pattern x rule x vote
+        total = max(float(counts.sum()), 1.0)
+        imagined = np.array([0.2, 0.8])[:, None, None] * cls.PRIOR[:, None, :] * (cls.STRENGTH * total + 1)
+        likely, good, done = np.repeat(cls.PRIOR[:, None, :], patterns.shape[1], 1), 0.8, 0
+        low, high = np.log([1 / 200, 1 / 2, 1]), np.log([1 / 5, 2, 1.3])
+        while True:
+            ratios = np.clip(np.log(likely[1]) - np.log(likely[0]), low, high)
+            done += 1
+            p = 1 / (1 + np.exp(-(math.log(good / (1 - good)) + (votes * ratios).sum((1, 2)))))
+            held = np.stack([(1 - p) * counts, p * counts])
+            likely = np.einsum("lp,prv->lrv", held, votes) + imagined
+            likely /= likely.sum(2, keepdims=True)
+            share = float(np.clip((held[1].sum() + 8) / (counts.sum() + 10), 0.5, 0.99))
+            if abs(share - good) < tolerance or done == rounds:
+                return cls(share, ratios, likely, done)
+            good = share
 
     def posterior(self, votes: list[Column]) -> Column:
         """Probability that a document is good, as an expression over its votes."""
         odds = F.lit(math.log(self.good / (1 - self.good)))
-        for vote, a in zip(votes, self.accuracy, strict=True):
-            odds = odds + vote * F.lit(math.log(a / (1 - a)))
+        for vote, (bad, none, good) in zip(votes, self.ratios.tolist(), strict=True):
+            odds = odds + F.when(vote < 0, bad).when(vote > 0, good).otherwise(none)
         return 1 / (1 + F.exp(-odds))
 
 
