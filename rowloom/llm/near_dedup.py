@@ -178,7 +178,8 @@ def links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, percen
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("doc_id", "grp", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = dealt.join(texts, "doc_id").dropDuplicates(["doc_id", "x", "y"])
+    # merged at every size: groups are a share of the corpus, so they'd soon be too many to broadcast
+    texts = dealt.join(texts.hint("merge"), "doc_id").dropDuplicates(["doc_id", "x", "y"])
     texts = texts.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "doc_id")
 
     def run(batches):
