@@ -31,6 +31,7 @@ SHINGLE = 5
 COORDINATES = 32
 MATCHES = 17
 BLOCK = 2048
+PIECE = 256
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -173,7 +174,9 @@ def links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, percen
     document of a group of n travels n / block times and no task holds more than two blocks.
     """
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    dealt = groups.join(sizes, "grp").withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    # groups of some hundreds are cut too, into 8 blocks at most, so that one of them does not hold up its task
+    nb = F.greatest(F.ceil(F.col("n") / block), F.least(F.ceil(F.col("n") / PIECE), F.lit(8)))
+    dealt = groups.join(sizes, "grp").withColumn("nb", nb.cast("int"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("doc_id", "grp", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
@@ -221,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     connected components of the links, and ``kept`` holds for the document that names its group.
 
     A null, empty or blank text has no shingle and is linked with nothing; fewer words than a shingle's form one shingle
-    together; rows that repeat an id each get a row, and text of the least digest stands for the id; a null id is linked
+    together; rows that repeat an id each get a row (if their texts differ, one of them stands for the id when links are confirmed); a null id is linked
     with nothing, has a null group and is kept; an empty table gives no rows; other columns are not read.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
