@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, line_dedup, mixing, near_dedup, ngram_lm, quality_rules, sentencepieces, substring_dedup
+from . import html_extract, language_id, line_dedup, mixing, near_dedup, ngram_lm, quality_rules, sentencepieces, substring_dedup, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, k=10)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), length=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op4_ngram_lm": op4_ngram_lm,
+    "op5_topk_search": op5_topk_search,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
