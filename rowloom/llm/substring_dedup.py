@@ -30,7 +30,7 @@ from .packed import batches, bucket_edges, pack, unpack
 from .shared import shuffle_partitions, stored
 
 LENGTH = 20
-GRAM = 8
+GRAM = 6
 SHARD_WORDS = 60_000
 LAST_ID = (1 << 63) - 1
 
@@ -171,7 +171,11 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
 
 
 def segments(rows: DataFrame, places: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, start, d1, d2, words): maximal runs of windows with repeated anchors, as packed word hashes."""
+    """(id, start, d1, d2, words): maximal runs of windows with repeated anchors, as packed word codes.
+
+    A code is half of the word's hash: for two windows to pass for equal, 19 words must be and the codes of the other
+    collide. Copies are told by a 128-bit digest of whole hashes.
+    """
     schema = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("words", pa.binary())])
     marked = rows.join(places.groupBy("id").agg(F.collect_set("place").alias("places")), "id").select("id", "text", "places")
 
@@ -195,8 +199,8 @@ def segments(rows: DataFrame, places: DataFrame, length: int, gram: int) -> Data
                     begin = starts[new]
                     end = starts[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])] + length
                     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-                        body = h[a:b].tobytes()
-                        digest = np.frombuffer(hashlib.blake2b(body, digest_size=16).digest(), np.int64)
+                        digest = np.frombuffer(hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest(), np.int64)
+                        body = (h[a:b] >> np.uint64(32)).astype(np.uint32).tobytes()
                         doc = int(w.doc[a])
                         yield {"id": int(ids[s.first + doc]), "start": int(a - w.first[doc]), "d1": int(digest[0]), "d2": int(digest[1]), "words": body}
 
@@ -215,7 +219,7 @@ def earlier_spans(distinct: DataFrame, length: int, gram: int, buckets: int, sha
             size = 0
             for batch in frames:
                 for id_, start, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    h = np.frombuffer(body, np.uint64)
+                    h = np.frombuffer(body, np.uint32)
                     at, g = anchors(h, np.arange(len(h) - length + 1), length, gram)
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
                     sizes = np.diff(cut) + length - 1
@@ -239,7 +243,7 @@ def earlier_spans(distinct: DataFrame, length: int, gram: int, buckets: int, sha
             yield {"bucket": b, "blob": pack(key[own], id_[own], start[own], size[own], body[ragged(begin[own], size[own])])}
 
     def match(frames):
-        parts = [unpack(blob, np.uint64, np.int64, np.int32, np.int32, np.uint64) for batch in frames for blob in batch.column(1).to_pylist()]
+        parts = [unpack(blob, np.uint64, np.int64, np.int32, np.int32, np.uint32) for batch in frames for blob in batch.column(1).to_pylist()]
         if not parts:
             return
         key, id_, start, size, body = (np.concatenate([p[i] for p in parts]) for i in range(5))
@@ -346,7 +350,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     paired = found.join(first, ["d1", "d2"])
     is_first = (F.col("id") == F.col("id0")) & (F.col("start") == F.col("start0"))
     distinct = paired.where(is_first).dropDuplicates(["id", "start"])
-    later = paired.where(~is_first).select("id", "start", (F.col("start") + F.length("words") / 8).cast("int").alias("end"))
+    later = paired.where(~is_first).select("id", "start", (F.col("start") + F.length("words") / 4).cast("int").alias("end"))
     spans = earlier_spans(distinct, length, gram, buckets).unionByName(later)
     return spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
