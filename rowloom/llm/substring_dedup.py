@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import Slice, Words, grams, inside, mix, ragged, slices, word_hashes, words
 from .packed import batches, bucket_edges, pack, unpack
-from .shared import shuffle_partitions, stored
+from .shared import release_shuffles, shuffle_partitions, stored
 
 LENGTH = 20
 GRAM = 6
@@ -345,6 +345,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
     places = repeated_anchors(rows, length, gram, buckets)
     found = stored(segments(rows, places, length, gram), "segments")
+    del places
+    release_shuffles(spark)  # the anchors and one shuffle of all texts
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"))
     first = first.select("d1", "d2", F.col("f.id").alias("id0"), F.col("f.start").alias("start0"))
     paired = found.join(first, ["d1", "d2"])
