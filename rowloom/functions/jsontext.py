@@ -8,6 +8,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical(text: str) -> str:
@@ -42,7 +43,7 @@ def json_canonical(column: Column) -> Column:
     return F.to_json(F.parse_json(column))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_canonical_exact(column):
     """``canonical`` over batches, where numbers must print as doubles do."""
     return column.map(lambda x: None if x is None else canonical(x))

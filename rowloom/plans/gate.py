@@ -19,8 +19,8 @@ def check_scan(name: str, rows: int | None, listed: str = "", limit: int = ROWS_
 
 
 def filtered_columns(df: DataFrame) -> set[str]:
-    """Columns that the optimised plan filters on, in lower case."""
-    plan = df._jdf.queryExecution().optimizedPlan()
+    """Columns that a query filters on, in lower case; as analysed, before names dissolve into how snapshots are read."""
+    plan = df._jdf.queryExecution().analyzed()
     found: set[str] = set()
 
     def walk(node) -> None:

@@ -261,29 +261,37 @@ query("except_all", " EXCEPT ALL ".join(_NATIONS))(lambda t: _nations(t)[0].exce
 
 # --- windows ---------------------------------------------------------------------------------------------------------
 
-_BY_CUSTOMER = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+def _by_customer():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+def _by_priority():
+    return Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+
+
 _OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
-query("row_number", f"SELECT o_orderkey, row_number() {_OVER}) AS rn FROM orders")(lambda t: t.orders.select("o_orderkey", F.row_number().over(_BY_CUSTOMER).alias("rn")))
+query("row_number", f"SELECT o_orderkey, row_number() {_OVER}) AS rn FROM orders")(lambda t: t.orders.select("o_orderkey", F.row_number().over(_by_customer()).alias("rn")))
 query("rank_dense", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")(
-    lambda t: t.orders.select("o_orderkey", F.rank().over(_BY_PRIORITY).alias("r"), F.dense_rank().over(_BY_PRIORITY).alias("d"))
+    lambda t: t.orders.select("o_orderkey", F.rank().over(_by_priority()).alias("r"), F.dense_rank().over(_by_priority()).alias("d"))
 )
-_BY_PRIORITY = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
 query("lag_lead", f"SELECT o_orderkey, lag(o_orderkey) {_OVER}) AS prev, lead(o_orderkey) {_OVER}) AS nxt FROM orders")(
-    lambda t: t.orders.select("o_orderkey", F.lag("o_orderkey").over(_BY_CUSTOMER).alias("prev"), F.lead("o_orderkey").over(_BY_CUSTOMER).alias("nxt"))
+    lambda t: t.orders.select("o_orderkey", F.lag("o_orderkey").over(_by_customer()).alias("prev"), F.lead("o_orderkey").over(_by_customer()).alias("nxt"))
 )
 query("running_sum", f"SELECT o_orderkey, round(sum(o_totalprice) {_OVER} ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")(
-    lambda t: t.orders.select("o_orderkey", F.round(F.sum("o_totalprice").over(_BY_CUSTOMER.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"))
+    lambda t: t.orders.select("o_orderkey", F.round(F.sum("o_totalprice").over(_by_customer().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"))
 )
 query("ntile_first_last", f"SELECT o_orderkey, CAST(ntile(4) {_OVER}) AS BIGINT) AS quarter, first_value(o_orderkey) {_OVER}) AS f, last_value(o_orderkey) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM orders")(
     lambda t: t.orders.select(
         "o_orderkey",
-        F.ntile(4).over(_BY_CUSTOMER).cast("long").alias("quarter"),
-        F.first("o_orderkey").over(_BY_CUSTOMER).alias("f"),
-        F.last("o_orderkey").over(_BY_CUSTOMER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("l"),
+        F.ntile(4).over(_by_customer()).cast("long").alias("quarter"),
+        F.first("o_orderkey").over(_by_customer()).alias("f"),
+        F.last("o_orderkey").over(_by_customer().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("l"),
     )
 )
 query("moving_average", f"SELECT o_orderkey, round(avg(o_totalprice) {_OVER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS m FROM orders")(
-    lambda t: t.orders.select("o_orderkey", F.round(F.avg("o_totalprice").over(_BY_CUSTOMER.rowsBetween(-2, 0)), 4).alias("m"))
+    lambda t: t.orders.select("o_orderkey", F.round(F.avg("o_totalprice").over(_by_customer().rowsBetween(-2, 0)), 4).alias("m"))
 )
 query("top_per_group", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")(
     lambda t: t.orders.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(c("o_totalprice").desc(), "o_orderkey")).alias("rn"))
