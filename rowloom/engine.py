@@ -19,6 +19,7 @@ from .operators import expiry as X
 from .storage import Manifest, Store, live
 
 ATTEMPTS = 3
+BAD = "_bad_json"
 
 
 def now() -> dt.datetime:
@@ -119,23 +120,26 @@ class Engine:
         unknown = set(have) - {n.lower() for n in table.names} - {TTL}
         if unknown:
             raise InvalidDefinition(f"no column {sorted(unknown)[0]} in {table.name}")
-        out = []
+        out, bad = [], F.lit(False)
         for c in table.columns:
             value = F.col(have[c.name.lower()]) if c.name.lower() in have else F.lit(None)
             if c.type.storage == "JSON" and c.name.lower() in have:
-                value = _canonical(value)
+                text, value = value.cast("string"), _canonical(value.cast("string"))
+                bad = bad | (text.isNotNull() & value.isNull())
             elif c.type.storage == "TIMESTAMP":
                 value = F.date_trunc("second", value.cast(T.TimestampType()))
             out.append(value.cast(c.type.spark).alias(c.name))
         out.append((F.col(have[TTL]).cast("long") if TTL in have else F.lit(None).cast("long")).alias(TTL))
-        return rows.select(*out)
+        return rows.select(*out, bad.alias(BAD))
 
     def _check(self, rows: DataFrame, table: Table) -> None:
         """NOT NULL and the size limit, in one pass."""
         needed = [c.name for c in table.columns if c.not_null or c.name == table.key]
         broken = reduce(or_, [F.col(n).isNull() for n in needed])
         large = C.row_bytes(rows, table.names) > MAX_ROW_BYTES
-        nulls, big = rows.agg(F.max(broken), F.max(large)).first()
+        nulls, big, bad = rows.agg(F.max(broken), F.max(large), F.max(BAD)).first()
+        if bad:
+            raise TableError("a value is not JSON")
         if nulls:
             raise TableError("a column that is NOT NULL got a null")
         if big:
@@ -230,12 +234,16 @@ class Engine:
             table, moment = m.definition, self._moment()
             for n in set_:
                 table.column(n)
-            values = {table.column(n).name: v for n, v in set_.items()}
+            values, bad = {table.column(n).name: v for n, v in set_.items()}, F.lit(False)
+            for n, v in values.items():
+                if table.column(n).type.storage == "JSON":
+                    values[n] = _canonical(v.cast("string"))
+                    bad = bad | (v.isNotNull() & values[n].isNull())
             current = self._live(m, moment)
             hit = current.where(where) if where is not None else current
             expires = F.col(EXPIRES) if ttl is None else X.expiry_of(F.lit(ttl), table.default_ttl, moment)
             old = F.col(table.key).alias("_old")
-            changed = hit.select(old, *[values[n].cast(table.column(n).type.spark).alias(n) if n in values else F.col(n) for n in table.names], expires.alias(EXPIRES))
+            changed = hit.select(old, *[values[n].cast(table.column(n).type.spark).alias(n) if n in values else F.col(n) for n in table.names], expires.alias(EXPIRES), bad.alias(BAD))
             self._check(changed, table)
             removed = None
             if table.key in values:
@@ -310,10 +318,12 @@ class Engine:
 
 @F.pandas_udf(T.StringType())
 def _canonical(column):
+    """The canonical form, null for what is not JSON."""
+
     def one(x):
         try:
             return canonical(x)
-        except ValueError as e:
-            raise TableError(f"not JSON: {x[:100]}") from e
+        except ValueError:
+            return None
 
     return column.map(lambda x: None if x is None else one(x))

@@ -3,7 +3,6 @@ import datetime as dt
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rowloom.catalog import Column, Index, Table
@@ -125,8 +124,12 @@ def test_auto_increment_and_checks(session):
     assert values(session.sql("SELECT n, id FROM a WHERE n > 2")) == [(3, 10), (4, 11)]
     assert values(session.sql("SELECT body FROM a WHERE body IS NOT NULL")) == [('{"a":[1],"b":1}',)]
     assert values(session.sql("SELECT CAST(at AS STRING) FROM a WHERE id = 10")) == [("2024-01-01 00:00:00",)]
-    with pytest.raises(PySparkException):
+    with pytest.raises(TableError):
         session.sql("INSERT INTO a (body, n) VALUES ('{bad', 1)")
+    session.sql("""UPDATE a SET body = '{"z": 1, "y": 2}' WHERE n = 4""")
+    assert values(session.sql("SELECT body FROM a WHERE n = 4")) == [('{"y":2,"z":1}',)]
+    with pytest.raises(TableError):
+        session.sql("UPDATE a SET body = 'x' WHERE n = 4")
     with pytest.raises(TableError):
         session.sql("INSERT INTO a (id) VALUES (20)")
     with pytest.raises(RowTooLarge):
