@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import batches
-from .shared import stored
+from .shared import fresh, stored
 
 #: What HTML elements and common class names mean.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -403,16 +403,18 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """
     names = [c for c in (keep if keep is not None else pages.columns) if c not in ("text", "n_chars")]
     wrappers = stored(induce(pages, url_col, html_col), "wrappers")
-    inputs = pages.select(*names, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
+    at_url, at_html, at_wrapper = fresh(names, "_url", "_html", "_wrapper")
+    inputs = pages.select(*names, F.col(url_col).alias(at_url), F.col(html_col).alias(at_html))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-2]), "text string", "n_chars long"])
     size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         held = pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in wrappers.collect()})
-        source = inputs.withColumn("_wrapper", F.lit(None).cast("string"))
+        source = inputs.withColumn(at_wrapper, F.lit(None).cast("string"))
     else:
         held = None
-        host = F.lower(F.regexp_extract(F.coalesce("_url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        source = inputs.withColumn("_host", host).join(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")), "_host", "left").drop("_host")
+        (own,) = fresh(names, "_host")
+        host = F.lower(F.regexp_extract(F.coalesce(at_url, F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+        source = inputs.withColumn(own, host).join(wrappers.select(F.col("host").alias(own), F.col("wrapper").alias(at_wrapper)), own, "left").drop(own)
 
     def run(frames):
         ready: dict[str, Wrapper] = {}

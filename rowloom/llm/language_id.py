@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
     learned; ties go to the language that sorts first; a null id stays null; every repeated row gets its row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most languages / least n-grams, 16 slots each
-    keep = keep or []
+    keep = [c for c in keep or [] if c not in (id_col, "lang_pred", "score")]
     names = [id_col, *keep, "lang_pred", "score"]
     inputs = docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-1]), "lang_pred string", "score double"])

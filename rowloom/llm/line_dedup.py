@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import fresh, stored
 
 MIN_SITES = 5
 LG_K = 10  # 2**10 registers: a standard error of 3.3 %
@@ -56,8 +56,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line is what stands between two ``\\n``; blank lines stay. A document that loses all lines gets an empty text. A
     null text stays null and has 0 lines; a null site is a site; a null id sorts first; repeated rows, and rows that
-    share an id, keep the first occurrence together. All other columns pass through, whatever their names.
+    share an id, keep the first occurrence together. All other columns pass through; one that has the name of a result
+    is replaced.
     """
+    own_id, dropped = fresh(docs.columns, "_id", "_drop")
+    passed = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     lines = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(site_col).cast("string"), F.lit("\0")).alias("site"),
@@ -68,15 +71,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop = (
         lines.join(common, ["h1", "h2"])
         .where(~(F.col("id").eqNullSafe(F.col("first.id")) & F.col("place").eqNullSafe(F.col("first.place"))))
-        .groupBy(F.col("id").alias("_id"))
-        .agg(F.collect_set("place").alias("_drop"))
+        .groupBy(F.col("id").alias(own_id))
+        .agg(F.collect_set("place").alias(dropped))
     )
-    joined = docs.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    gone = F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
+    joined = docs.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)), "left")
+    gone = F.coalesce(F.col(dropped), F.array().cast("array<int>"))
     split = line_array(F.col(text_col))
     kept = F.filter(split, lambda _, i: ~F.array_contains(gone, i))
     return joined.select(
-        *[F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col)).alias(c) if c == text_col else docs[c] for c in docs.columns],
+        *[F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col)).alias(c) if c == text_col else docs[c] for c in passed],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import fresh, stored
 
 #: Ranks are first narrowed down by sums over this many intervals, twice; so no task sees a whole source.
 INTERVALS = 256
@@ -112,7 +112,8 @@ def _with_edge(rows: DataFrame, edge: DataFrame, level: str) -> DataFrame:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: ``docs`` with each row as often as ``pareto_mix`` takes it; rows of one id count as one choice."""
+    own_id, times, copy = fresh(docs.columns, "_id", "_copies", "_copy")
     copies = pareto_mix(docs, id_col, source_col, text_col, most, seed)
-    copies = copies.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    copies = copies.groupBy(F.col(id_col).alias(own_id)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

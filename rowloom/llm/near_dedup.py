@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Slice, grams, inside, lowered, mix, slices, word_hashes, words
-from .shared import connected_components, stored
+from .shared import connected_components, fresh, stored
 
 SHINGLE = 5
 COORDINATES = 32
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id (and the rows that repeat it once)."""
-    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("_id")).distinct()
-    joined = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns])
+    (own_id,) = fresh(docs.columns, "_id")
+    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias(own_id)).distinct()
+    joined = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(own_id))).select(*docs.columns)
     return joined.where(F.col(id_col).isNull()).unionByName(joined.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))

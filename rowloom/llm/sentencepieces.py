@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Slice, Words, ragged, slices, word_hashes
+from .shared import fresh
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -243,7 +244,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_file: str =
     """
     model = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_file))
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("ids", "n_tokens", "round_trip")]
-    inputs = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
+    inputs = docs.select(*names, F.col(text_col).cast("string").alias(fresh(names, "_text")[0]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-1]]
 
     def run(frames):

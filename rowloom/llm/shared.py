@@ -34,6 +34,17 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that no column has, whatever its case."""
+    have = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, before the next large step.
 
