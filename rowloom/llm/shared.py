@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +51,10 @@ def release_shuffles(spark: SparkSession) -> None:
 
     Spark's cleaner removes them when the driver collects garbage, which a long job may put off until disks are full.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # for the cleaner, which works beside
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -347,12 +347,13 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stored(segments(rows, places, length, gram), "segments")
     del places
     release_shuffles(spark)  # the anchors and one shuffle of all texts
+    # the earliest of equal segments, with its words: equal ones of a task meet before the shuffle
+    whole = F.struct("id", "start", "words")
+    distinct = found.groupBy("d1", "d2").agg(F.min_by(whole, F.struct("id", "start")).alias("s")).select("s.*")
+    places = found.select("id", "start", (F.col("start") + F.length("words") / 4).cast("int").alias("end"), "d1", "d2")
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"))
-    first = first.select("d1", "d2", F.col("f.id").alias("id0"), F.col("f.start").alias("start0"))
-    paired = found.join(first, ["d1", "d2"])
-    is_first = (F.col("id") == F.col("id0")) & (F.col("start") == F.col("start0"))
-    distinct = paired.where(is_first).dropDuplicates(["id", "start"])
-    later = paired.where(~is_first).select("id", "start", (F.col("start") + F.length("words") / 4).cast("int").alias("end"))
+    is_first = F.struct("id", "start") == F.col("f")
+    later = places.join(first, ["d1", "d2"]).where(~is_first).select("id", "start", "end")
     spans = earlier_spans(distinct, length, gram, buckets).unionByName(later)
     return spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
