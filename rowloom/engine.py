@@ -145,9 +145,16 @@ class Engine:
         if big:
             raise RowTooLarge(f"a row has more than {MAX_ROW_BYTES} bytes")
 
-    def _check_unique(self, after: DataFrame, table: Table) -> None:
+    def _check_unique(self, rest: DataFrame, written: DataFrame, table: Table) -> None:
+        """Unique values of written rows, among themselves and against the live rows that stay as they are.
+
+        What is there already is unique, so only the written values are looked for; small writes are broadcast by size.
+        """
         for i in table.indexes:
-            if i.unique and not C.violations(after, i.column).isEmpty():
+            if not i.unique:
+                continue
+            values = written.where(F.col(i.column).isNotNull()).select(i.column)
+            if not C.violations(values, i.column).isEmpty() or not rest.select(i.column).join(values, i.column, "left_semi").isEmpty():
                 raise DuplicateKey(f"duplicate value in unique index {i.name}")
 
     def _publish(self, m: Manifest, written: DataFrame | None, removed: DataFrame | None, grown: int | None, **more) -> dict:
@@ -213,8 +220,8 @@ class Engine:
                 written = both.select(*columns, kept.alias(EXPIRES))
             else:
                 raise ValueError(on_conflict)
-            after = C.replace(current.select(*table.names), written.select(*table.names), table.key)
-            self._check_unique(after, table)
+            rest = current.join(written.select(table.key), table.key, "left_anti")
+            self._check_unique(rest, written, table)
             affected = written.count()
             grown = affected if on_conflict in ("error", "ignore") else affected - taken.count()
             return self._publish(m, written, None, grown, next_auto=next_auto)
@@ -252,8 +259,8 @@ class Engine:
                     raise DuplicateKey("the new key is taken")
                 removed = changed.select(F.col("_old").alias(table.key)).join(changed.select(table.key), table.key, "left_anti")
             written = changed.select(*table.names, EXPIRES)
-            rest = current.join(changed.select(F.col("_old").alias(table.key)), table.key, "left_anti").select(*table.names)
-            self._check_unique(rest.unionByName(written.select(*table.names)), table)
+            rest = current.join(changed.select(F.col("_old").alias(table.key)), table.key, "left_anti")
+            self._check_unique(rest, written, table)
             affected = written.count()
             return self._publish(m, written, removed, 0) if affected else {}
 
