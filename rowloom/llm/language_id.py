@@ -209,6 +209,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return out.select(id_col, (remainder(id_col, folds) == held_out).alias("held_out"), "lang_pred", "score")
 
 
-def rejected(lang_pred: Column, score: Column, least: float = 0.4) -> Column:
+def rejected(lang_pred: Column, score: Column, least: float = 0.3) -> Column:
     """Whether a filter by language drops a document: no language, or hardly any evidence for one."""
     return (lang_pred == UNKNOWN) | (score < least)
