@@ -350,10 +350,9 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the earliest of equal segments, with its words: equal ones of a task meet before the shuffle
     whole = F.struct("id", "start", "words")
     distinct = found.groupBy("d1", "d2").agg(F.min_by(whole, F.struct("id", "start")).alias("s")).select("s.*")
-    places = found.select("id", "start", (F.col("start") + F.length("words") / 4).cast("int").alias("end"), "d1", "d2")
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"))
-    is_first = F.struct("id", "start") == F.col("f")
-    later = places.join(first, ["d1", "d2"]).where(~is_first).select("id", "start", "end")
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f")).select("f.*")
+    # by place, not by digest, which thousands of copies share
+    later = found.select("id", "start", (F.col("start") + F.length("words") / 4).cast("int").alias("end")).join(first, ["id", "start"], "left_anti")
     spans = earlier_spans(distinct, length, gram, buckets).unionByName(later)
     return spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
