@@ -466,3 +466,82 @@ def _windows(t: Tables) -> DataFrame:
     from .streaming.events import tumbling
 
     return tumbling(t.events, "1 hour").select(c("w").cast("timestamp_ntz").alias("w"), "event_type", "n")
+
+# --- more windows over events -------------------------------------------------------------------------------------------
+
+query("sliding_window", """SELECT time_bucket(INTERVAL 1 HOUR, ts) - CAST(k AS INTEGER) * INTERVAL 1 HOUR AS w, event_type, count(*) AS n FROM events, range(2) r(k) GROUP BY 1, 2""")(
+    lambda t: _sliding(t)
+)
+query(
+    "session_windows",
+    """WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events),
+       numbered AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+       SELECT user_id, min(ts) AS begin_, max(ts) + INTERVAL 1 DAY AS end_, count(*) AS n FROM numbered GROUP BY user_id, s""",
+)(lambda t: _sessions(t))
+
+
+def _sliding(t: Tables) -> DataFrame:
+    from .streaming.events import tumbling
+
+    return tumbling(t.events, "2 hours", slide="1 hour").select(c("w").cast("timestamp_ntz").alias("w"), "event_type", "n")
+
+
+def _sessions(t: Tables) -> DataFrame:
+    from .streaming.events import sessions
+
+    return sessions(t.events, "1 day").select("user_id", c("begin").cast("timestamp_ntz").alias("begin_"), c("end").cast("timestamp_ntz").alias("end_"), "n")
+
+
+# --- the engine itself: statements over a snapshot table, and what is read back ---------------------------------------------
+
+
+def _engine(t: Tables, table, clock=None):
+    import uuid
+
+    from .engine import Engine, now
+
+    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    engine = Engine(t.spark, f"{root}/tables-{uuid.uuid4().hex}", clock or now)
+    engine.create_table(table)
+    return engine
+
+
+def _snapshot(t: Tables) -> DataFrame:
+    from .catalog import Column as Field
+    from .catalog import Index, Table
+
+    fields = [Field("o_orderkey", "bigint"), Field("o_orderstatus", "varchar(8)"), Field("o_totalprice", "double")]
+    engine = _engine(t, Table("o", fields, "o_orderkey", indexes=[Index("p", "o_totalprice")]))
+    engine.insert("o", _old(t))
+    engine.compact("o", ["o_orderkey"])
+    engine.insert("o", _new(t), "replace")
+    engine.update("o", c("o_totalprice") > 200000, {"o_orderstatus": F.lit(None)})
+    engine.delete("o", (c("o_orderstatus") == "F") & (c("o_totalprice") < 50000))
+    return engine.table("o", ttl=False)
+
+
+query(
+    "snapshot_statements",
+    f"""SELECT * FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice
+        FROM (SELECT * FROM {_OLD} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_NEW}) UNION ALL SELECT * FROM {_NEW}) u) v
+        WHERE NOT coalesce(o_orderstatus = 'F' AND o_totalprice < 50000, FALSE)""",
+)(_snapshot)
+
+
+def _snapshot_expiry(t: Tables) -> DataFrame:
+    import datetime as dt
+
+    from .catalog import TTL, Table
+    from .catalog import Column as Field
+
+    moments = [dt.datetime(2024, 1, 15, tzinfo=dt.timezone.utc)]
+    engine = _engine(t, Table("e", [Field("event_id", "bigint")], "event_id", default_ttl=3600), lambda: moments[-1])
+    engine.insert("e", _written(t).withColumnRenamed("ttl", TTL))
+    moments.append(moments[0] + dt.timedelta(seconds=45))
+    return engine.table("e").select("event_id", c(TTL).alias("ttl"))
+
+
+query(
+    "snapshot_expiry",
+    f"SELECT event_id, CAST(CASE WHEN ttl = 0 THEN -1 ELSE coalesce(ttl, 3600) - 45 END AS BIGINT) AS ttl FROM {_WRITTEN} WHERE coalesce(ttl, 3600) >= 0",
+)(_snapshot_expiry)
