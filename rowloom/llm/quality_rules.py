@@ -105,7 +105,7 @@ def rules() -> dict[str, Column]:
         "repeated_words": _vote(repeated, repeated > 0.2, repeated <= 0.1),
         "letters": _vote(lettered, lettered < 0.6, lettered >= 0.9),
         "line_ends": _vote(ended, never, ended >= 0.5),
-        "digits": _vote(digits, digits > 0.3, digits <= 0.1),
+        "digits": _vote(digits, digits > 0.6, digits <= 0.1),
         "capitals": _vote(upper, (upper > 0.5) & (F.col("n_letters") >= 20), upper <= 0.2),
         "exclaims": _vote(shouted, shouted > 0.3, shouted <= 0.1),
     }
