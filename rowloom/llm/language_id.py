@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import Slice, lowered, mix, slices, space_mask
 from .packed import batches, bucket_edges, pack, unpack
-from .shared import stored
+from .shared import shuffle_partitions, stored
 
 LENGTH = 4  # bytes in an n-gram, which then is a 32-bit number
 UNKNOWN = "und"
@@ -100,13 +100,14 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(0))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ratio: float = 0.5, least: float = 1e-6, buckets: int = 64) -> LanguageFilter:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ratio: float = 0.5, least: float = 1e-6, buckets: int | None = None) -> LanguageFilter:
     """Learns the filters from all rows of ``docs`` with a language.
 
     n-grams are counted over all texts, pre-summed in every task. Language l contains an n-gram if its frequency in l is
     at least ``least``, and at least ``ratio`` times that in any language; so a language contains at most 1/least
     n-grams, however large the corpus is, and that bounds what reaches the driver.
     """
+    buckets = buckets or max(64, shuffle_partitions(docs.sparkSession))
     rows_schema = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("blob", pa.binary())])
 
     def emit(held: dict[str, list]):
