@@ -1,7 +1,7 @@
 """Vectorised views of text columns: words and their hashes straight from Arrow buffers.
 
 A *word* is a maximal run of bytes other than ``\\x20`` and ``\\x09-\\x0D``, within one text.
-Texts are handled in slices of a few megabytes, so memory is bounded by the longest text.
+Texts are handled in slices of about a megabyte, so memory is bounded by the longest text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)

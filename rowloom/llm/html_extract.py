@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import batches
-from .shared import fresh, stored
+from .shared import fresh, small_batches, stored
 
 #: What HTML elements and common class names mean.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -401,6 +401,7 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     have no template but what marks itself; repeated rows each get a row; a column of ``pages`` that has the name of a
     result is replaced; an empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     names = [c for c in (keep if keep is not None else pages.columns) if c not in ("text", "n_chars")]
     wrappers = stored(induce(pages, url_col, html_col), "wrappers")
     at_url, at_html, at_wrapper = fresh(names, "_url", "_html", "_wrapper")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import Slice, lowered, mix, slices, space_mask
 from .packed import batches, bucket_edges, pack, unpack
-from .shared import shuffle_partitions, stored
+from .shared import shuffle_partitions, small_batches, stored
 
 LENGTH = 4  # bytes in an n-gram, which then is a 32-bit number
 UNKNOWN = "und"
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ratio:
     at least ``least``, and at least ``ratio`` times that in any language; so a language contains at most 1/least
     n-grams, however large the corpus is, and that bounds what reaches the driver.
     """
+    small_batches(docs.sparkSession)
     buckets = buckets or max(64, shuffle_partitions(docs.sparkSession))
     rows_schema = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("blob", pa.binary())])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Slice, grams, inside, lowered, mix, slices, word_hashes, words
-from .shared import connected_components, fresh, stored
+from .shared import connected_components, fresh, small_batches, stored
 
 SHINGLE = 5
 COORDINATES = 32
@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     together; rows that repeat an id each get a row (if their texts differ, one of them stands for the id when links are confirmed); a null id is linked
     with nothing, has a null group and is kept; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = prints.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     classes = stored(classes, "classes")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .arrowtext import lowered, mix, slices, word_hashes, words
 from .language_id import remainder
 from .packed import batches, pack, unpack
-from .shared import shuffle_partitions
+from .shared import shuffle_partitions, small_batches
 
 DISCOUNT = 0.75
 SLICE = 10 << 20
@@ -247,6 +247,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     get a row; without training rows, c = N = V = 0 and every token has probability 1; an empty table gives no rows;
     other columns are not read.
     """
+    small_batches(docs.sparkSession)
     buckets = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (remainder(id_col, folds) == 0).alias("held"), F.col(text_col).alias("text"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import grams, inside, mix, powers, slices, space_mask, word_hashes, words
-from .shared import stored
+from .shared import small_batches, stored
 
 SYMBOLS = b"#*$%&|<>"
 TERMINAL = b".!?\"')"
@@ -184,6 +184,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text counts as empty, so it is base_failed; a null id stays null; repeated rows each get a row; an empty
     table gives an empty result; other columns are not looked at. Ties at the threshold are kept.
     """
+    small_batches(docs.sparkSession)
     votes = rules()
     names = [f"vote_{n}" for n in votes]
     table = stored(measured(docs, id_col, text_col).select("*", *(v.alias(f"vote_{n}") for n, v in votes.items())), "votes")

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Slice, Words, ragged, slices, word_hashes
-from .shared import fresh
+from .shared import fresh, small_batches
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_TEXT = " ⁇ ".encode()
-CACHE = 400_000  # stretches that a worker remembers before it starts anew
+CACHE = 150_000  # stretches that a worker remembers before it starts anew
 
 
 class DoubleArrayTrie:
@@ -242,6 +242,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_file: str =
     A null or empty text has no ids and makes the round trip; repeated rows each get a row; a column of ``docs`` that
     has the name of a result is replaced; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_file))
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("ids", "n_tokens", "round_trip")]
     inputs = docs.select(*names, F.col(text_col).cast("string").alias(fresh(names, "_text")[0]))

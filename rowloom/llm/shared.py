@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import time
 import uuid
@@ -57,6 +58,29 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)  # for the cleaner, which works beside
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1500) -> None:
+    """Bounds the Arrow batches of texts that go to Python, unless the session has its own bound.
+
+    By default a batch has 10,000 rows, of which the JVM and the Python worker hold several copies.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Inside, Arrow batches have at most ``rows`` rows; for plans over large blobs that run there and then."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from .arrowtext import Slice, Words, grams, inside, mix, ragged, slices, word_hashes, words
 from .packed import batches, bucket_edges, pack, unpack
-from .shared import release_shuffles, shuffle_partitions, stored
+from .shared import release_shuffles, shuffle_partitions, small_batches, stored
 
 LENGTH = 20
 GRAM = 6
 SHARD_WORDS = 60_000
+POST_BYTES = 4 << 20  # of text whose anchors travel together
 LAST_ID = (1 << 63) - 1
 
 
@@ -133,7 +134,7 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
         def out():
             for batch in frames:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for s in slices(batch.column(1)):
+                for s in slices(batch.column(1), POST_BYTES):
                     w, _, _, at, g = _windows(s, length, gram)
                     at = np.unique(at)
                     doc = ids[s.first + w.doc[at]]
@@ -340,6 +341,7 @@ def _shard(id_, start, size, begin, body, length: int):
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, spans): for every document that loses words, the spans [start, end) of word numbers, perhaps overlapping."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
