@@ -11,7 +11,7 @@
    confirmed on full sets. A block pair emits a spanning forest of its links, never all pairs.
 4. Connected components of the links give every document its group.
 
-With K = 32 and M = 17 a pair of similarity 0.85 is missed with probability 2e-5, and one of 0.9 with 1e-8; every other
+With K = 32 and M = 17 a pair of similarity 0.85 is missed with probability 4e-6, and one of 0.9 with 1e-8; every other
 step is exact, up to collisions of 64-bit hashes.
 """
 
