@@ -19,7 +19,7 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list[tuple[str, ...]]:
     def value(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         return repr(round(float(v), 6)) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
 
