@@ -11,12 +11,13 @@
    confirmed on full sets. A block pair emits a spanning forest of its links, never all pairs.
 4. Connected components of the links give every document its group.
 
-With K = 32 and M = 17 a pair of similarity 0.85 is missed with probability 4e-6, and one of 0.9 with 1e-8; every other
-step is exact, up to collisions of 64-bit hashes.
+K is 32, and M is the largest that misses a pair at the threshold with probability MISS at most: 17 at 0.85 (3.5e-6), 14
+at 0.8 (1.2e-6). Every other step is exact, up to collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,24 @@ from .shared import connected_components, fresh, small_batches, stored
 
 SHINGLE = 5
 COORDINATES = 32
-MATCHES = 17
+MISS = 4e-6
 BLOCK = 2048
 PIECE = 256
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def matches(percent: int) -> int:
+    """Agreements M that a pair at the threshold falls short of with probability MISS at most."""
+    p, missed, m = percent / 100, 0.0, 0
+    while m < COORDINATES:
+        missed += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if missed > MISS:
+            break
+        m += 1
+    return m
+
+
 def shingle_sets(s: Slice, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text of a slice, sorted, and where each text's begin."""
     data = lowered(s.data)
@@ -86,16 +98,16 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, schema)
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
+def candidate_groups(classes: DataFrame, least: int) -> DataFrame:
     """(doc_id, grp): representatives that may have a near copy, and the group within which it must be.
 
-    ``classes``: doc_id, signature; one row a distinct set.
+    ``classes``: doc_id, signature; one row a distinct set. ``least``: agreements that a pair needs.
     """
     postings = classes.select("doc_id", F.posexplode("signature").alias("k", "v"))
     postings = postings.select("doc_id", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     of_doc = postings.join(shared, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    prefix = of_doc.where(F.size("keys") >= MATCHES).select("doc_id", F.explode(F.slice("keys", 1, F.size("keys") - MATCHES + 1)).alias("p"))
+    prefix = of_doc.where(F.size("keys") >= least).select("doc_id", F.explode(F.slice("keys", 1, F.size("keys") - least + 1)).alias("p"))
     prefix = stored(prefix.select("doc_id", F.col("p.key").alias("key")), "prefix")
     heads = prefix.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
     edges = prefix.join(heads, "key").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
@@ -126,6 +138,7 @@ class Forest:
 def links_between(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among sets; if ``side`` has two values, of those across them."""
     n = len(sets)
+    least = matches(percent)
     forest = Forest(n)
     across = len(np.unique(side)) > 1
     sizes = np.array([len(x) for x in sets])
@@ -144,7 +157,7 @@ def links_between(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, per
         if not len(others):
             continue
         agree = (low[others] == low[i]).sum(1)
-        others = others[agree >= MATCHES]
+        others = others[agree >= least]
         if not len(others):
             continue
         mine = forest.find(i)
@@ -232,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = prints.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     classes = stored(classes, "classes")
     reps = prints.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    groups = candidate_groups(reps.select("doc_id", "signature").dropDuplicates(["doc_id"]))
+    groups = candidate_groups(reps.select("doc_id", "signature").dropDuplicates(["doc_id"]), matches(percent))
     found = stored(links(docs, groups, id_col, text_col, percent, block, shingle), "links")
     parts = connected_components(found).select(F.col("node").alias("rep"), "component")
     named = classes.join(parts, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
