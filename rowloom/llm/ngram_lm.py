@@ -16,7 +16,7 @@ Two shuffles in all; nothing reaches the driver.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import tempfile
 from dataclasses import dataclass
 
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,6 +253,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (remainder(id_col, folds) == 0).alias("held"), F.col(text_col).alias("text"))
 
     def post(frames):
+        part, slices_done = TaskContext.get().partitionId(), itertools.count()
+
         def one(ids, held, texts):
             t = Tokens.of(texts)
             train = ~held[t.doc]
@@ -260,8 +263,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sizes = pa.compute.fill_null(pa.compute.binary_length(plain), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             null = ids.is_null().to_numpy(zero_copy_only=False)
             blob = pack(ids.fill_null(0).to_numpy(), null, held, sizes, np.frombuffer(data, np.uint8))
-            name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
-            yield {"dest": name % buckets, "slice": name, "kind": DOCS, "bucket": 0, "blob": blob}
+            number = next(slices_done)
+            name = part << 32 | number  # of this slice alone, also where another has equal rows
+            yield {"dest": (part + number) % buckets, "slice": name, "kind": DOCS, "bucket": 0, "blob": blob}
             keys, back = np.unique(t.word, return_inverse=True)
             counts = np.bincount(back, train, len(keys)).astype(np.uint32)
             cut = _spread(keys, buckets)

@@ -1,10 +1,14 @@
 """Cases in which an operator once did less than the whole job."""
 
+import collections
+import math
 import random
+import zlib
 
 import corpus_pipeline
 import test_pipeline
-from rowloom.llm import sentencepieces
+import pytest
+from rowloom.llm import ngram_lm, sentencepieces
 
 
 def pairs(n, edits, seed=1):
@@ -58,3 +62,17 @@ def test_pipeline_against_plain_stages_at_0_8(spark, folder):
     got = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted((r["doc_id"], r["text"]) for r in rows)
     assert all(r.round_trip and model.decode(r.ids) == r.text and r.n_tokens == len(r.ids) for r in got)
+
+
+def test_language_model_keeps_slices_of_equal_rows(spark):
+    rows = [(i, f"a b{i} c{i % 3} a") for i in range(20)]
+    twice = spark.createDataFrame(spark.sparkContext.parallelize(rows * 2, 2), "doc_id long, text string")  # equal partitions
+    got = ngram_lm.score_documents(twice).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    c = collections.Counter(w for i, t in rows * 2 if not held(i) for w in [*t.split(), "END"])
+    n, v = sum(c.values()), len(c)
+    assert sorted(r.doc_id for r in got) == sorted(2 * [i for i, _ in rows])
+    for r in got:
+        w = [*rows[r.doc_id][1].split(), "END"]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (5, sum(c[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), abs=1e-6)
