@@ -2,8 +2,8 @@
 
 DOM trees of same-host pages are aligned by simple tree matching into one wrapper tree a host. A wrapper node counts
 the pages that fill it and keeps the least and greatest hash of their texts: a node whose text is one and the same on
-all of at least three pages is template, the others are slots. A page's text is then what stands in slots, within the
-page's article where it has one, and outside of parts that mark themselves as menus, adverts, comments and the like.
+all of at least three pages is template, the others are slots. A page's text is then its article, or what stands in
+slots where it has none, outside of parts that mark themselves as menus, adverts, comments and the like.
 
 Every task grows the wrappers of the hosts it meets from whole pages; wrappers of one host, at most one a task, are
 merged by the same matching, first by salted host and then by host. Pages of equal shape share one alignment.
@@ -326,17 +326,21 @@ def _key(shape: Shape) -> tuple:
 
 
 def main_text(root: Node) -> str:
-    found = [(n, t) for n, t in blocks(root) if not n.chrome and n.slot is not False]
-    tops: dict[int, int] = {}
-    for n, t in found:
+    """What stands in slots or, where the page has an article, all of the article: copies of one article are constant too."""
+    found = [(n, t, n.slot is not False) for n, t in blocks(root) if not n.chrome]
+    tops: dict[int, list[int]] = {}
+    for n, t, slot in found:
         top = _article(n)
         if top is not None:
-            tops[id(top)] = tops.get(id(top), 0) + len(t)
-    if tops:
-        best = max(tops.values())
-        chosen = next(k for k, v in tops.items() if v == best)
-        found = [(n, t) for n, t in found if (top := _article(n)) is not None and id(top) == chosen]
-    return "\n".join(t for _, t in found)
+            size = tops.setdefault(id(top), [0, 0])
+            size[0] += len(t) * slot
+            size[1] += len(t)
+    if not tops:
+        return "\n".join(t for _, t, slot in found if slot)
+    own = max(tops, key=lambda k: tops[k])  # of most text in slots
+    # a longer one that is constant may be a copied article beside teasers, so both stay
+    chosen = {own} | {k for k in [max(tops, key=lambda k: tops[k][1])] if not tops[k][0]}
+    return "\n".join(t for n, t, _ in found if (top := _article(n)) is not None and id(top) in chosen)
 
 
 def _article(node: Node) -> Node | None:

@@ -8,7 +8,7 @@ import zlib
 import corpus_pipeline
 import test_pipeline
 import pytest
-from rowloom.llm import ngram_lm, sentencepieces
+from rowloom.llm import html_extract, ngram_lm, sentencepieces
 
 
 def pairs(n, edits, seed=1):
@@ -76,3 +76,17 @@ def test_language_model_keeps_slices_of_equal_rows(spark):
         w = [*rows[r.doc_id][1].split(), "END"]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (5, sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), abs=1e-6)
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://one.example/{i}", x) for i, x in enumerate(pages)]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_article_copies_under_differing_menus(spark):
+    page = "<body><div><p>Menu {n}</p></div><article><h1>{h}</h1><p>{p}</p></article><div><p>Foot {n}</p></div></body>"
+    assert extracted(spark, [page.format(n=i, h="Title", p="Same text") for i in range(5)]) == ["Title\nSame text"] * 5
+    # three copies on a larger host, and one heading on all pages
+    texts = ["Same text"] * 3 + [f"Text {i}" for i in range(6)]
+    assert extracted(spark, [page.format(n=i, h="Title", p=t) for i, t in enumerate(texts)]) == [f"Title\n{t}" for t in texts]
