@@ -74,22 +74,30 @@ class Node:
 
     def _read(self, attributes: str) -> None:
         names: list[str] = []
+        whole: set[str] = set()  # words of names that say nothing else
+        own = self.tag == "article"
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
-                names += [w.lower() for w in _WORD.findall(value)]
+                for name in value.split():
+                    said = [w.lower() for w in _WORD.findall(name)]
+                    names += said
+                    if said and said[-1] in CHROME_WORDS and CHROME_WORDS.union(CONTENT_WORDS).issuperset(said):
+                        whole |= CHROME_WORDS.intersection(said)
             elif key == "role":
                 self.chrome |= value.lower() in CHROME_ROLES
-                self.article |= value.lower() in ("main", "article")
+                own |= value.lower() in ("main", "article")
             elif key == "itemprop":
-                self.article |= value == "articleBody"
+                own |= value == "articleBody"
             elif key == "style":
                 self.chrome |= "display:none" in value.replace(" ", "").lower()
             elif key == "aria-hidden":
                 self.chrome |= value.lower() == "true"
             elif key == "hidden":
                 self.chrome = True
-        found = CHROME_WORDS.intersection(names)
+        self.article |= own
+        # beside words of content only a whole name tells: "sidebar" or "post-footer", but not "with-sidebar"
+        found = whole if own or CONTENT_WORDS.intersection(names) else CHROME_WORDS.intersection(names)
         if found and (found - {"header"} or not (self.article or CONTENT_WORDS.intersection(names))):
             self.chrome |= self.tag not in ("html", "body", "main")
         self.label = ".".join([self.tag, *sorted(set(names))])

@@ -90,3 +90,12 @@ def test_article_copies_under_differing_menus(spark):
     # three copies on a larger host, and one heading on all pages
     texts = ["Same text"] * 3 + [f"Text {i}" for i in range(6)]
     assert extracted(spark, [page.format(n=i, h="Title", p=t) for i, t in enumerate(texts)]) == [f"Title\n{t}" for t in texts]
+
+
+def test_class_names_that_only_mention_furniture(spark):
+    kept = ['article class="post with-sidebar"', 'div id="content" class="no-menu"', 'article class="entry comment-open"', 'div class="story hasBanner"']
+    gone = ['div class="sidebar"', 'article class="comment"', 'div class="post-navigation"', 'div class="share-buttons"', 'div class="content ad"']
+    page = "<body><p>First {n}</p><{tag}><p>Text {n}</p></{end}></body>"
+    texts = extracted(spark, [page.format(n=i, tag=x, end=x.split()[0]) for i, x in enumerate(kept + gone)])
+    assert all(t.endswith(f"Text {i}") for i, t in enumerate(texts[: len(kept)]))
+    assert texts[len(kept) :] == [f"First {i + len(kept)}" for i in range(len(gone))]
