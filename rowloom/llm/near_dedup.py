@@ -45,6 +45,8 @@ def matches(percent: int) -> int:
         if missed > MISS:
             break
         m += 1
+    if not 0 < percent <= 100 or not m:
+        raise ValueError(f"percent is {percent}; {COORDINATES} coordinates find pairs from 33 to 100")
     return m
 
 
@@ -234,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Group of every document: ``id_col``, ``n_shingles``, ``component_id`` (smallest id in the group) and ``kept``.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct shingles; groups are the
-    connected components of the links, and ``kept`` holds for the document that names its group.
+    connected components of the links, and ``kept`` holds for the document that names its group. ``percent`` is 33 to 100;
+    below, too many links would be missed.
 
     A null, empty or blank text has no shingle and is linked with nothing; fewer words than a shingle's form one shingle
     together; rows that repeat an id each get a row (if their texts differ, one of them stands for the id when links are confirmed); a null id is linked

@@ -8,7 +8,7 @@ import zlib
 import corpus_pipeline
 import test_pipeline
 import pytest
-from rowloom.llm import html_extract, ngram_lm, sentencepieces
+from rowloom.llm import html_extract, near_dedup, ngram_lm, sentencepieces
 
 
 def pairs(n, edits, seed=1):
@@ -99,3 +99,12 @@ def test_class_names_that_only_mention_furniture(spark):
     texts = extracted(spark, [page.format(n=i, tag=x, end=x.split()[0]) for i, x in enumerate(kept + gone)])
     assert all(t.endswith(f"Text {i}") for i, t in enumerate(texts[: len(kept)]))
     assert texts[len(kept) :] == [f"First {i + len(kept)}" for i in range(len(gone))]
+
+
+def test_near_copies_at_lower_thresholds(spark):
+    docs = spark.createDataFrame(pairs(200, 5), "doc_id long, text string")  # 71 of 121 shingles: 0.587
+    got = near_dedup.near_duplicates(docs, percent=55).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got) and len(got) == 400
+    for percent in (0, 20, 32, 101):
+        with pytest.raises(ValueError):
+            near_dedup.near_duplicates(docs, percent=percent)
