@@ -2,12 +2,15 @@
 
 Pieces and scores come from a model file, which the driver reads and broadcasts; its size is that of the vocabulary.
 Texts are written with a space for the white-space marker. As no piece has a marker behind another character, the best
-segmentation of a text is that of its stretches between such places, so each distinct stretch is segmented once.
+segmentation of a text is that of its stretches between such places, so each distinct stretch of a slice is segmented
+once. All of them are segmented together: the trie is walked from all places at once, then the best scores of all
+stretches advance end by end. Nothing is remembered from slice to slice, so a worker's memory is bounded by a slice.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +26,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_TEXT = " ⁇ ".encode()
-CACHE = 150_000  # stretches that a worker remembers before it starts anew
+LONGEST = 512  # bytes of a stretch that is segmented beside others; longer ones go one by one
 
 
 class DoubleArrayTrie:
@@ -66,19 +69,34 @@ class DoubleArrayTrie:
             for b in bytes_:
                 check[at + b] = state
                 queue.append((at + b, node[b]))
-        self.base, self.check, self.value = base, check, value
+        self.base, self.check, self.value = (np.array(x, np.int32) for x in (base, check, value))
+
+    def walk(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in ``at``, length, value) of all items that ``data`` has at the places ``at`` and before ``end``, by rising length."""
+        who, state, place, n = np.arange(len(at)), np.zeros(len(at), np.int32), at, 0
+        while len(who):
+            live = np.flatnonzero((place < end[who]) & (self.base[state] >= 0))
+            who, state, place = who[live], state[live], place[live]
+            to = self.base[state] + data[place]
+            live = np.flatnonzero(self.check[to] == state)
+            who, state, place = who[live], to[live], place[live] + 1
+            n += 1
+            found = self.value[state]
+            hit = np.flatnonzero(found >= 0)
+            if len(hit):
+                yield who[hit], np.full(len(hit), n), found[hit]
 
     def prefixes(self, text: bytes, at: int):
         """(length, value) of all items that ``text`` has at a place, shortest first."""
         base, check, value = self.base, self.check, self.value
         state = 0
         for n, byte in enumerate(text[at:], 1):
-            to = base[state] + byte
+            to = int(base[state]) + byte
             if base[state] < 0 or check[to] != state:
                 return
             state = to
             if value[state] >= 0:
-                yield n, value[state]
+                yield n, int(value[state])
 
 
 def log_scores(scores: list[float]) -> list[float]:
@@ -102,6 +120,14 @@ class PieceModel:
     unknown: int
     dummy_prefix: bool = True
     trie: DoubleArrayTrie = field(init=False)
+    _lists: tuple | None = field(init=False, default=None)
+
+    @property
+    def lists(self) -> tuple[list[int], list[int], list[int]]:
+        """The trie's arrays as lists, which are faster to look at one by one; made when first asked for."""
+        if self._lists is None:
+            self._lists = tuple(x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value))
+        return self._lists
 
     def __post_init__(self) -> None:
         apart = {*self.byte_ids, self.unknown}
@@ -133,7 +159,7 @@ class PieceModel:
         """
         n = len(text)
         best, back, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
-        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
+        (base, check, value), score = self.lists, self.score
         i = 0
         while i < n:
             lead = text[i]
@@ -182,14 +208,80 @@ class PieceModel:
 
 
 class Encoder:
-    """Encodes slices of texts with a model, remembering the stretches it has met."""
+    """Encodes slices of texts with a model."""
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.known: dict[bytes, np.ndarray] = {}
         self.lengths = np.array([len(UNKNOWN_TEXT) if i == model.unknown else len(t) for i, t in enumerate(model.text)])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(UNKNOWN_TEXT if i == model.unknown else t for i, t in enumerate(model.text)), np.uint8)
+        self.score = np.array(model.score, np.float64)
+
+    def segment_all(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``PieceModel.segment`` for all stretches [start, end) of ``data`` at once: ids in order, and how many each has."""
+        model = self.model
+        size = end - start
+        n = len(size)
+        text = data[ragged(start, size)]
+        owner = np.repeat(np.arange(n), size)
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        lead = np.flatnonzero((text & 0xC0) != 0x80)  # characters begin here
+        width = np.diff(np.append(lead, len(text)))
+        step = (lead - first[owner[lead]]).astype(np.uint16)
+        order = np.argsort(step, kind="stable")
+        lead, width, step = lead[order], width[order], step[order].astype(np.int64)
+        # every stretch has one place more than bytes: where byte i of stretch k ends is place i + k + 1
+        best = np.full(len(text) + n, -np.inf)
+        zero = first + np.arange(n)
+        best[zero] = 0
+        back, by = np.zeros(len(best), np.int32), np.full(len(best), -1, np.int32)
+        place = (lead + owner[lead]).astype(np.int32)
+        single = np.zeros(len(lead), bool)
+        matches = []
+        for who, length, piece in model.trie.walk(text, lead, (first + size)[owner[lead]]):
+            single[who[length == width[who]]] = True
+            matches.append((step[who], place[who], place[who] + length.astype(np.int32), piece, self.score[piece]))
+        bare = np.flatnonzero(~single)
+        for w in np.unique(width[bare]).tolist():  # a character that no piece stands for
+            own = bare[width[bare] == w]
+            matches.append((step[own], place[own], place[own] + np.int32(w), np.full(len(own), -1, np.int32), np.full(len(own), model.floor)))
+        # of one length and one first step a stretch has one match at most, so their ends differ
+        cuts = [np.searchsorted(m[0], np.arange(int(step[-1]) + 2)).tolist() if len(step) else [] for m in matches]
+        for k in range(int(step[-1]) + 1 if len(step) else 0):
+            for (_, begin, until, piece, gain), cut in zip(matches, cuts, strict=True):
+                a, b = cut[k], cut[k + 1]
+                if a < b:
+                    reach, to = best[begin[a:b]] + gain[a:b], until[a:b]
+                    better = np.flatnonzero(reach > best[to])  # so among equals the longest last piece stays
+                    to = to[better]
+                    best[to], back[to], by[to] = reach[better], begin[a:b][better], piece[a:b][better]
+        # from the ends back, all stretches a piece at a time
+        at, live, done = zero + size, np.flatnonzero(size), np.zeros(n, np.int64)
+        ids, of, slot = [], [], []
+        while len(live):
+            here = at[live]
+            before, p = back[here], by[here]
+            bare = np.flatnonzero(p < 0)
+            if len(bare) and model.byte_ids[0] >= 0:  # the character's bytes, the last of them first
+                gone, a, wide = live[bare], before[bare], (here - before)[bare]
+                inner = ragged(np.zeros(len(bare), np.int64), wide)
+                ids.append(np.array(model.byte_ids, np.int32)[text[np.repeat(a - gone, wide) + inner]])
+                of.append(np.repeat(gone, wide)), slot.append(np.repeat(done[gone] + wide - 1, wide) - inner)
+                done[gone] += wide
+                known = np.flatnonzero(p >= 0)
+            else:
+                p = np.where(p < 0, model.unknown, p)
+                known = np.arange(len(p))
+            own = live[known]
+            ids.append(p[known]), of.append(own), slot.append(done[own])
+            done[own] += 1
+            at[live] = before
+            live = live[before > zero[live]]
+        out = np.zeros(int(done.sum()), np.int32)
+        ends = np.cumsum(done)
+        for i, o, x in zip(ids, of, slot, strict=True):
+            out[ends[o] - 1 - x] = i
+        return out, done
 
     def marked(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """The slice's texts with their leading space, and where each begins."""
@@ -209,21 +301,16 @@ class Encoder:
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
         _, first, back = np.unique(word_hashes(data, Words(start, end, start, start)), return_index=True, return_inverse=True)
-        parts = []
-        whole = data.tobytes()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True):
-            key = whole[a:b]
-            ids = self.known.get(key)
-            if ids is None:
-                ids = np.array(self.model.segment(key), np.int32)
-                if len(key) <= 64:
-                    self.known[key] = ids
-            parts.append(ids)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts)
-        at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        first_start, first_end = start[first], end[first]
+        short = first_end - first_start <= LONGEST
+        sizes = np.zeros(len(first), np.int64)
+        flat, sizes[short] = self.segment_all(data, first_start[short], first_end[short])
+        at = np.zeros(len(first), np.int64)
+        at[short] = np.concatenate([[0], np.cumsum(sizes[short])])[:-1]
+        for i in np.flatnonzero(~short).tolist():
+            ids = np.array(self.model.segment(data[first_start[i] : first_end[i]].tobytes()), np.int32)
+            at[i], sizes[i] = len(flat), len(ids)
+            flat = np.concatenate([flat, ids])
         ids = flat[ragged(at[back], sizes[back])]
         ends = np.concatenate([[0], np.cumsum(sizes[back])])
         return ids, ends[np.searchsorted(start, offsets)]
@@ -244,7 +331,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_file: str =
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_file))
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("ids", "n_tokens", "round_trip")]
+    names = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("ids", "n_tokens", "round_trip")]
     inputs = docs.select(*names, F.col(text_col).cast("string").alias(fresh(names, "_text")[0]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-1]]
 
