@@ -95,9 +95,12 @@ SELECT d.doc_id, CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesc
 FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id""",
     "op8_mixing": r"""
 WITH docs AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest
   FROM documents),
+sized AS (
+  SELECT *, length(bin(size)) AS b,
+         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM docs),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
@@ -113,13 +116,30 @@ rest AS (
 targets AS (
   SELECT l.source, l.source_size, CASE WHEN l.level * l.weight > l.cap THEN l.cap::DOUBLE ELSE r.level * l.weight END AS target
   FROM levels l, rest r),
-parts AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS part FROM targets),
+classes AS (
+  SELECT t.source, t.source_size, t.target, d.b, CAST(sum(d.size) AS BIGINT) AS s
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+shared AS (
+  SELECT *, coalesce(sum(s) OVER (PARTITION BY source ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+         sum(s * b) OVER (PARTITION BY source ORDER BY b DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below
+  FROM classes),
+fitted AS (
+  SELECT *, CASE WHEN below > 0 THEN (target - (3 * above)::DOUBLE) / below::DOUBLE END AS level FROM shared),
+chosen AS (
+  SELECT source, arg_max(level, b) AS c FROM fitted WHERE s > 0 AND level * b <= 3 GROUP BY source),
+expected AS (
+  SELECT f.*, CASE WHEN source_size = 0 THEN 0::DOUBLE WHEN c IS NULL OR c * b > 3 THEN 3::DOUBLE ELSE c * b END AS m
+  FROM fitted f LEFT JOIN chosen c ON f.source IS NOT DISTINCT FROM c.source),
+plan AS (
+  SELECT source, b, source_size, target, CAST(floor(m) AS BIGINT) AS whole, m - floor(m) AS p,
+         target - (sum(s * CAST(floor(m) AS BIGINT)) OVER (PARTITION BY source))::DOUBLE AS remain
+  FROM expected),
+odds AS (
+  SELECT d.*, p.source_size, p.target, p.whole, p.p, p.remain, CASE WHEN p.p > 0 THEN (d.u / (1 - d.u)) / (p.p / (1 - p.p)) END AS q
+  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND d.b = p.b),
 ranked AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, floor(p.part) AS whole, (p.part - floor(p.part)) * p.source_size AS remain,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS until
-  FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN q / (1 + q) ELSE 2 END, doc_id, size ROWS UNBOUNDED PRECEDING) AS until FROM odds)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN remain > 0 AND (until <= remain OR 2 * remain > 2 * until - size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN p > 0 AND remain > 0 AND (until <= remain OR 2 * remain > 2 * until - size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked""",
 }
