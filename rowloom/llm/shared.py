@@ -85,6 +85,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(docs: DataFrame, text_col: str, each: int = 32 << 20) -> int:
+    """Buckets that get about ``each`` bytes of text or less, and at least as many as the session shuffles into."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // each))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Component of every node of ``edges`` (a, b: long): (node, component), the smallest node reachable.
 
