@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 
 def conflicts(current: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """New rows whose key a current row has."""
@@ -56,15 +58,16 @@ def violations(rows: DataFrame, column: str) -> DataFrame:
 def with_next_ids(rows: DataFrame, key: str, start: int, order: list[str]) -> DataFrame:
     """Fills null keys with consecutive numbers from ``start``, in the given order.
 
-    Rows are numbered inside range partitions whose sizes are summed first, so no task holds them all.
+    Rows are sorted in ranges and written once with their place in their range, so that counts and numbers speak of the
+    same ranges; the sizes of the ranges are summed up, one number a range, so no task holds all rows.
     """
-    missing = rows.where(F.col(key).isNull())
-    part = missing.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    part = part.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    before = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    filled = part.join(F.broadcast(before), "_part")  # one row a partition
-    filled = filled.withColumn(key, (F.lit(start - 1) + F.col("_before") + F.col("_row")).cast(rows.schema[key].dataType))
+    missing = rows.where(F.col(key).isNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    part = stored(missing.withColumn("_at", F.monotonically_increasing_id()), "numbered")  # range << 33 | place
+    part = part.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    filled = part.join(F.broadcast(before), "_part")  # one row a range
+    filled = filled.withColumn(key, (F.lit(start) + F.col("_before") + F.col("_row")).cast(rows.schema[key].dataType))
     return rows.where(F.col(key).isNotNull()).unionByName(filled.select(*rows.columns))
 
 

@@ -18,21 +18,23 @@ def check_scan(name: str, rows: int | None, listed: str = "", limit: int = ROWS_
         raise NoIndex(f"ERR_NO_INDEX: a full scan of {name}, which has {rows} rows")
 
 
-def filtered_columns(df: DataFrame) -> set[str]:
-    """Columns that a query filters on, in lower case; as analysed, before names dissolve into how snapshots are read."""
-    plan = df._jdf.queryExecution().analyzed()
-    found: set[str] = set()
+def filtered_columns(df: DataFrame, table: str) -> set[str]:
+    """Columns of a table's view that a query filters on, in lower case; as analysed, before names dissolve into how snapshots are read."""
+    conditions, own = [], set()
 
     def walk(node) -> None:
         if node.nodeName() == "Filter":
             refs = node.condition().references().toSeq()
-            found.update(refs.apply(i).name().lower() for i in range(refs.length()))
+            conditions.extend(refs.apply(i) for i in range(refs.length()))
+        elif node.nodeName() == "SubqueryAlias" and node.alias().lower() == table.lower():
+            out = node.output()
+            own.update(out.apply(i).exprId().id() for i in range(out.length()))
         kids = node.children()
         for i in range(kids.length()):
             walk(kids.apply(i))
 
-    walk(plan)
-    return found
+    walk(df._jdf.queryExecution().analyzed())
+    return {x.name().lower() for x in conditions if x.exprId().id() in own}
 
 
 def pushed_filters(df: DataFrame) -> list[str]:

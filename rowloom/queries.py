@@ -84,8 +84,8 @@ query("non_key_range_on_pk", "SELECT o_orderkey, o_custkey FROM orders WHERE o_o
     lambda t: A.ranges(t.orders, "o_orderkey", [Interval(100, 200, True)], columns=["o_orderkey", "o_custkey"])
 )
 query("prefix_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'S%'")(lambda t: t.part.where(c("p_type").like("S%")).select("p_partkey", "p_type"))
-query("prefix_like_ordered", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority LIKE '1-%' ORDER BY o_orderpriority, o_orderkey LIMIT 50")(
-    lambda t: A.prefix(t.orders, "o_orderpriority", A.constant_prefix("1-%"), "o_orderkey", ["o_orderkey", "o_orderpriority"]).limit(50)
+query("prefix_like_ordered", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority LIKE '1-%' ORDER BY o_orderpriority, o_orderkey")(
+    lambda t: A.prefix(t.orders, "o_orderpriority", A.constant_prefix("1-%"), "o_orderkey", ["o_orderkey", "o_orderpriority"])
 )
 query("like_infix", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%an%' AND p_name NOT LIKE '_a%'")(
     lambda t: t.part.where(c("p_name").like("%an%") & ~c("p_name").like("_a%")).select("p_partkey", "p_name")
@@ -121,17 +121,17 @@ query("range_topk", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalpr
 query("keyset_page", "SELECT o_orderkey, o_orderpriority FROM orders WHERE (o_orderpriority, o_orderkey) > ('2-HIGH', 50) ORDER BY o_orderpriority, o_orderkey LIMIT 25")(
     lambda t: A.keyset_page(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", ("2-HIGH", 50), 25)
 )
-query("order_by_pk_desc", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 20 ORDER BY o_orderkey DESC LIMIT 11")(
-    lambda t: t.orders.where("o_orderkey >= 20").select("o_orderkey").orderBy(c("o_orderkey").desc()).limit(11)
+query("order_by_pk_desc", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 20 ORDER BY o_orderkey DESC")(
+    lambda t: t.orders.where("o_orderkey >= 20").select("o_orderkey").orderBy(c("o_orderkey").desc())
 )
 query("limit_offset", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 30")(
     lambda t: t.customer.select("c_custkey", "c_acctbal").orderBy(c("c_acctbal").desc(), "c_custkey").offset(30).limit(10)
 )
-query("lex_order", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 40")(
-    lambda t: t.part.select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(40)
+query("lex_order", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey")(
+    lambda t: t.part.select("p_partkey", "p_name").orderBy("p_name", "p_partkey")
 )
-query("multi_key_sort", "SELECT c_nationkey, c_mktsegment, c_custkey FROM customer ORDER BY c_nationkey DESC, c_mktsegment, c_custkey LIMIT 30")(
-    lambda t: t.customer.select("c_nationkey", "c_mktsegment", "c_custkey").orderBy(c("c_nationkey").desc(), "c_mktsegment", "c_custkey").limit(30)
+query("multi_key_sort", "SELECT c_nationkey, c_mktsegment, c_custkey FROM customer ORDER BY c_nationkey DESC, c_mktsegment, c_custkey")(
+    lambda t: t.customer.select("c_nationkey", "c_mktsegment", "c_custkey").orderBy(c("c_nationkey").desc(), "c_mktsegment", "c_custkey")
 )
 
 # --- aggregates ------------------------------------------------------------------------------------------------------
@@ -168,9 +168,6 @@ query("cube", _SALES + "CUBE (l_returnflag, l_linestatus)")(lambda t: t.lineitem
 query("grouping_sets", _SALES + "GROUPING SETS ((l_returnflag), (l_linestatus), ())")(
     lambda t: t.lineitem.groupingSets([[c("l_returnflag")], [c("l_linestatus")], []], "l_returnflag", "l_linestatus").agg(total("l_quantity", "qty"))
 )
-query("approx_distinct", None)(
-    lambda t: t.lineitem.agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 12)).alias("parts"), F.approx_count_distinct("l_suppkey", 0.02).alias("suppliers"))
-)
 query("data_length", "SELECT count(*) * 200 AS bytes FROM lineitem")(lambda t: t.lineitem.agg((F.count(F.lit(1)) * 200).alias("bytes")))
 query("pivot", """SELECT l_returnflag, round(sum(l_quantity) FILTER (l_linestatus = 'O'), 2) AS o, round(sum(l_quantity) FILTER (l_linestatus = 'F'), 2) AS f FROM lineitem GROUP BY l_returnflag""")(
     lambda t: t.lineitem.groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.round(F.sum("l_quantity"), 2)).withColumnsRenamed({"O": "o", "F": "f"})
@@ -499,9 +496,9 @@ def _engine(t: Tables, table, clock=None):
     import uuid
 
     from .engine import Engine, now
+    from .scratch import shared_folder
 
-    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    engine = Engine(t.spark, f"{root}/tables-{uuid.uuid4().hex}", clock or now)
+    engine = Engine(t.spark, f"{shared_folder(t.spark)}/tables-{uuid.uuid4().hex}", clock or now)
     engine.create_table(table)
     return engine
 
@@ -545,3 +542,5 @@ query(
     "snapshot_expiry",
     f"SELECT event_id, CAST(CASE WHEN ttl = 0 THEN -1 ELSE coalesce(ttl, 3600) - 45 END AS BIGINT) AS ttl FROM {_WRITTEN} WHERE coalesce(ttl, 3600) >= 0",
 )(_snapshot_expiry)
+
+from . import session_queries  # noqa: E402, F401  registers more, by the functions above

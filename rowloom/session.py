@@ -46,6 +46,31 @@ def split(text: str, by: str = ",") -> list[str]:
     return [p.strip() for p in [*parts, text[start:]] if p.strip()]
 
 
+_QUOTED = r"""'(?:[^'\\]|''|\\.)*'|"(?:[^"\\]|""|\\.)*\""""
+
+
+def masked(text: str) -> str:
+    """The text with what stands in quotes replaced, place by place, so that only what stands outside can match."""
+    return re.sub(_QUOTED, lambda m: m[0][0] + "_" * (len(m[0]) - 2) + m[0][-1], text, flags=re.S)
+
+
+def outside(pattern: str, put: str | Callable[[re.Match], str], text: str) -> str:
+    """Substitutes a pattern outside of quotes; upper and lower case alike."""
+    found = re.compile(pattern, re.I | re.S)
+    return re.sub(rf"({_QUOTED})|(?:{pattern})", lambda m: m[0] if m[1] is not None else found.sub(put, m[0]), text, flags=re.I | re.S)
+
+
+class Parts:
+    """Groups of a pattern that has matched the masked text, taken from the text itself."""
+
+    def __init__(self, text: str, match: re.Match):
+        self.text, self.match = text, match
+
+    def __getitem__(self, i: int) -> str | None:
+        a, b = self.match.span(i)
+        return self.text[a:b] if a >= 0 else None
+
+
 def bare(name: str) -> str:
     return name.strip().strip("`").split(".")[-1].strip("`")
 
@@ -98,31 +123,37 @@ class Session:
     def sql(self, text: str, args: Sequence | None = None) -> DataFrame:
         """Runs a statement. Queries give their rows, changes one row with the number of affected rows."""
         text = text.strip().rstrip(";").strip()
+        plain = masked(text)
         for pattern, write, run in self._statements():
-            m = pattern.match(text)
+            m = pattern.match(plain)
             if m:
                 if write:
                     self._writable()
-                return run(m, args)
+                return run(Parts(text, m), args)
         if _REFUSED.match(text):
             refuse(text.split()[0].upper())
         if re.match(r"(SELECT|WITH|VALUES|\()", text, re.I):
             return self._select(text, args)
         if re.match(r"EXPLAIN\b", text, re.I):
-            self._views(text)
-            return self.spark.sql(text)
+            return self._explain(text, args)
         raise TableError(f"not understood: {text[:60]}")
 
     def _statements(self) -> list[tuple[re.Pattern, bool, Callable]]:
         flags = re.I | re.S
+        tail = r"(?:\s+WHERE\s+(.*?))?(?:\s+ORDER\s+BY\s+(.*?))?(?:\s+LIMIT\s+(\d+|\?))?"
         return [
             (re.compile(r"CREATE\s+TABLE\s+(IF\s+NOT\s+EXISTS\s+)?([`\w.]+)\s*\((.*)\)([^)]*)$", flags), True, self._create_table),
             (re.compile(r"DROP\s+TABLE\s+(IF\s+EXISTS\s+)?([`\w.]+)$", flags), True, self._drop_table),
             (re.compile(r"CREATE\s+(UNIQUE\s+)?INDEX\s+([`\w]+)\s+ON\s+([`\w.]+)\s*\(([^)]*)\)\s*(?:COMMENT\s+('.*'))?$", flags), True, self._create_index),
             (re.compile(r"DROP\s+INDEX\s+([`\w]+)\s+ON\s+([`\w.]+)$", flags), True, self._drop_index),
             (re.compile(r"(INSERT(?:\s+IGNORE)?|REPLACE)\s+(?:INTO\s+)?([`\w.]+)\s*(?:\(([^)]*)\))?\s*((?:VALUES?\b|SELECT\b).*)$", flags), True, self._insert),
-            (re.compile(r"UPDATE\s+([`\w.]+)\s+SET\s+(.*?)(?:\s+WHERE\s+(.*))?$", flags), True, self._update),
-            (re.compile(r"DELETE\s+FROM\s+([`\w.]+)(?:\s+WHERE\s+(.*))?$", flags), True, self._delete),
+            (re.compile(r"(INSERT(?:\s+IGNORE)?|REPLACE)\s+(?:INTO\s+)?([`\w.]+)\s+SET\s+(.*?)(\s+ON\s+DUPLICATE\s+KEY\s+UPDATE\s+.*)?$", flags), True, self._insert_set),
+            (re.compile(rf"UPDATE\s+([`\w.]+)\s+SET\s+(.*?){tail}$", flags), True, self._update),
+            (re.compile(rf"DELETE\s+FROM\s+([`\w.]+){tail}$", flags), True, self._delete),
+            (re.compile(r"(?:DESCRIBE|DESC|SHOW\s+(?:FULL\s+)?(?:COLUMNS|FIELDS)\s+(?:FROM|IN))\s+([`\w.]+)$", flags), False, self._describe),
+            (re.compile(r"SHOW\s+(?:INDEX|INDEXES|KEYS)\s+(?:FROM|IN)\s+([`\w.]+)$", flags), False, self._show_index),
+            (re.compile(r"SHOW\s+CREATE\s+TABLE\s+([`\w.]+)$", flags), False, self._show_create),
+            (re.compile(r"SHOW\s+STATUS$", flags), False, lambda m, a: self._rows(self.engine.metrics.rows(), "name string, value double")),
             (re.compile(r"SET\s+(?:GLOBAL\s+|@@GLOBAL\.)(\w+)\s*=\s*(.+)$", flags), True, self._set_global),
             (re.compile(r"SET\s+(?:SESSION\s+|@@)?autocommit\s*=\s*(\w+)$", flags), False, self._autocommit),
             (re.compile(r"SHOW\s+TABLES$", flags), False, lambda m, a: self._rows([(n,) for n in self.engine.tables()], "name string")),
@@ -215,9 +246,10 @@ class Session:
     def _insert(self, m, args) -> DataFrame:
         name, body = bare(m[2]), m[4]
         table = self.engine.definition(name)
-        on_duplicate = re.search(r"\s+ON\s+DUPLICATE\s+KEY\s+UPDATE\s+(.*)$", body, re.I | re.S)
-        if on_duplicate:
-            body = body[: on_duplicate.start()]
+        found = re.search(r"\s+ON\s+DUPLICATE\s+KEY\s+UPDATE\s+(.*)$", masked(body), re.I | re.S)
+        on_duplicate = Parts(body, found) if found else None
+        if found:
+            body = body[: found.start()]
         columns = [bare(c) for c in split(m[3])] if m[3] else list(table.names)
         if re.match(r"VALUES?\b", body, re.I):
             body = re.sub(r"^VALUES?\b", "VALUES", body, flags=re.I)
@@ -225,56 +257,117 @@ class Session:
             width = len(split(split(body[6:])[0][1:-1]))
             columns += [TTL] * (width == len(table.names) + 1)
         self._views(body)
-        rows = self.spark.sql(f"SELECT * FROM ({body}) AS t({', '.join(f'`{c}`' for c in columns)})", args=list(args) if args else None)
+        left = list(args or [])
+        rows = self.spark.sql(f"SELECT * FROM ({self._bound(body, left)}) AS t({', '.join(f'`{c}`' for c in columns)})")
         kind = m[1].upper().split()
         if kind[0] == "REPLACE":
             n = self.engine.insert(name, rows, "replace")
         elif on_duplicate:
             set_ = {}
-            for part in split(on_duplicate[1]):
+            for part in split(self._bound(on_duplicate[1], left)):
                 target, _, value = part.partition("=")
-                value = re.sub(r"VALUES\s*\(\s*`?(\w+)`?\s*\)", r"new.\1", value, flags=re.I)
+                value = outside(r"VALUES\s*\(\s*`?(\w+)`?\s*\)", r"new.\1", value)
                 names = "|".join(map(re.escape, table.names))
-                value = re.sub(rf"(?<![\w.'])`?({names})`?(?![\w'(])", r"old.\1", value)
+                value = outside(rf"(?<![\w.'])`?({names})`?(?![\w'(])", r"old.\1", value)
                 set_[table.column(bare(target)).name] = F.expr(value)
             n = self.engine.insert(name, rows, "update", set_)
         else:
             n = self.engine.insert(name, rows, "ignore" if len(kind) > 1 else "error")
         return self._affected(n)
 
+    def _insert_set(self, m, args) -> DataFrame:
+        parts = [part.partition("=") for part in split(m[3])]
+        columns = ", ".join(f"`{bare(target)}`" for target, _, _ in parts)
+        return self.sql(f"{m[1]} INTO {m[2]} ({columns}) VALUES ({', '.join(value for _, _, value in parts)}){m[4] or ''}", args)
+
     def _update(self, m, args) -> DataFrame:
-        text, ttl = self._bound(f"{m[2]}\0{m[3] or ''}", args).split("\0"), None
-        set_ = {}
-        for part in split(text[0]):
+        left, ttl, set_ = list(args or []), None, {}
+        for part in split(self._bound(m[2], left)):
             target, _, value = part.partition("=")
             if bare(target) == TTL:
                 ttl = int(value)
             else:
                 set_[bare(target)] = F.expr(value)
-        return self._affected(self.engine.update(bare(m[1]), F.expr(text[1]) if text[1] else None, set_, ttl))
+        where, narrow = self._hit(m, 3, left)
+        return self._affected(self.engine.update(bare(m[1]), where, set_, ttl, narrow))
 
     def _delete(self, m, args) -> DataFrame:
-        where = self._bound(m[2], args) if m[2] else None
-        return self._affected(self.engine.delete(bare(m[1]), F.expr(where) if where else None))
-
-    def _bound(self, text: str, args: Sequence | None) -> str:
-        """Puts literals in the place of ? outside of quotes."""
-        if not args:
-            return text
-        left = list(args)
+        where, narrow = self._hit(m, 2, list(args or []))
+        return self._affected(self.engine.delete(bare(m[1]), where, narrow))
+
+    def _hit(self, m, at: int, left: list):
+        """The condition of a change, and what its ORDER BY and LIMIT make of the rows hit."""
+        where, order, limit = (self._bound(m[at + i], left) if m[at + i] else None for i in range(3))
+        if not order and not limit:
+            return F.expr(where) if where else None, None
+        keys = []
+        for part in split(order or ""):
+            name, down = re.match(r"(.*?)(\s+DESC|\s+ASC)?$", part, re.I | re.S).groups()
+            keys.append(F.expr(name).desc() if (down or "").strip().upper() == "DESC" else F.expr(name).asc())
+        keys.append(F.col(self.engine.definition(bare(m[1])).key).asc())  # ties by key, so that reruns agree
+        return F.expr(where) if where else None, lambda hit: hit.orderBy(*keys).limit(int(limit)) if limit else hit
+
+    def _bound(self, text: str, left: list) -> str:
+        """Puts literals in the place of ? outside of quotes, and takes them from the list."""
         literal = lambda v: "NULL" if v is None else repr(v) if isinstance(v, int | float) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-        return re.sub(r"'(?:[^'\\]|\\.)*'|\?", lambda m: literal(left.pop(0)) if m[0] == "?" else m[0], text)
+        return outside(r"\?", lambda m: literal(left.pop(0)), text)
+
+    # what there is
+
+    def _describe(self, m, args) -> DataFrame:
+        table = self.engine.definition(bare(m[1]))
+        kinds = {i.column: "UNI" if i.unique else "MUL" for i in reversed(table.indexes)} | {table.key: "PRI"}
+        rows = [
+            (c.name, c.type_text.lower(), "NO" if c.not_null or c.name == table.key else "YES", kinds.get(c.name, ""), None, "auto_increment" if table.auto_increment and c.name == table.key else "")
+            for c in table.columns
+        ]
+        return self._rows(rows, "Field string, Type string, `Null` string, Key string, Default string, Extra string")
+
+    def _show_index(self, m, args) -> DataFrame:
+        table = self.engine.definition(bare(m[1]))
+        rows = [(table.name, 0, "PRIMARY", 1, table.key, "PRIMARY")]
+        rows += [(table.name, int(not i.unique), i.name, 1, i.column, i.kind) for i in table.indexes]
+        return self._rows(rows, "Table string, Non_unique int, Key_name string, Seq_in_index int, Column_name string, Index_type string")
+
+    def _show_create(self, m, args) -> DataFrame:
+        table = self.engine.definition(bare(m[1]))
+        lines = []
+        for c in table.columns:
+            auto = " AUTO_INCREMENT" if table.auto_increment and c.name == table.key else ""
+            lines.append(f"  `{c.name}` {c.type_text.lower()}{' NOT NULL' if c.not_null else ''}{auto}")
+        lines.append(f"  PRIMARY KEY (`{table.key}`)")
+        for i in table.indexes:
+            options = ({"covering": i.covering} if i.covering else {}) | ({"async": True} if i.asynchronous else {})
+            comment = f" COMMENT 'o:{json.dumps(options)}'" if options else ""
+            lines.append(f"  {'UNIQUE ' if i.unique else ''}KEY `{i.name}` (`{i.column}`){comment}")
+        comment = " COMMENT='o:" + json.dumps({"default_ttl": table.default_ttl}) + "'" if table.default_ttl else ""
+        return self._rows([(table.name, f"CREATE TABLE `{table.name}` (\n" + ",\n".join(lines) + f"\n){comment}")], "Table string, `Create Table` string")
+
+    def _explain(self, text: str, args: Sequence | None) -> DataFrame:
+        """The plan of a query, or of the rows that a change reads."""
+        body = re.sub(r"^EXPLAIN\s+(?:(?:EXTENDED|FORMATTED|ANALYZE)\s+)?", "", text, flags=re.I)
+        plain = masked(body)
+        change = re.match(r"(?:UPDATE\s+([`\w.]+)\s+SET\s+.*?|DELETE\s+FROM\s+([`\w.]+))(\s+WHERE\s+.*?)?(\s+ORDER\s+BY\s+.*?)?(\s+LIMIT\s+\d+)?$", plain, re.I | re.S)
+        if change:
+            m = Parts(body, change)
+            body = f"SELECT * FROM {m[1] or m[2]}{m[3] or ''}{m[4] or ''}{m[5] or ''}"
+        elif re.match(r"(INSERT|REPLACE)\b", plain, re.I):
+            source = re.search(r"\b(SELECT|VALUES?)\b.*$", plain, re.I | re.S)
+            body = re.sub(r"^VALUE\b", "VALUES", body[source.start() :], flags=re.I) if source else "SELECT 1"
+        self._views(body)
+        return self.spark.sql("EXPLAIN " + self._bound(body, list(args or [])))
 
     # queries
 
     def _views(self, text: str) -> list[str]:
-        used = [n for n in self.engine.tables() if re.search(rf"(?<![\w.']){re.escape(n)}(?!\w)", text, re.I)]
+        plain = masked(text)
+        used = [n for n in self.engine.tables() if re.search(rf"(?<![\w.']){re.escape(n)}(?!\w)", plain, re.I)]
         for name in used:
             self.engine.table(name).createOrReplaceTempView(name)
         return used
 
     def _select(self, text: str, args: Sequence | None) -> DataFrame:
-        text = re.sub(r"(?i)\b(FROM|JOIN)(\s+)`?\w+`?\.(`?\w+`?)", r"\1\2\3", text)
+        text = outside(r"\b(FROM|JOIN)(\s+)`?\w+`?\.(`?\w+`?)", r"\1\2\3", text)
         used = self._views(text)
         out = self.spark.sql(text, args=list(args) if args else None)
         self._guard(out, text, used)
@@ -284,12 +377,10 @@ class Session:
         """Refuses plans that read a large table without a filter on its key or an indexed column."""
         if re.match(r"SELECT\s+COUNT\(\s*\*\s*\)(\s+AS\s+\w+|\s+\w+)?\s+FROM\s+\S+$", text, re.I):
             return
-        filtered = None
         for name in used:
             rows = self.engine.store.load(name).rows
             if rows is not None and rows < self.scan_limit:
                 continue
             table = self.engine.definition(name)
-            filtered = filtered_columns(out) if filtered is None else filtered
-            if not filtered & {table.key.lower(), *(i.column.lower() for i in table.indexes)}:
+            if not filtered_columns(out, name) & {table.key.lower(), *(i.column.lower() for i in table.indexes)}:
                 check_scan(name, self.engine.row_count(name), self.variables()["query_allow_fullscan_tables"], self.scan_limit)

@@ -2,15 +2,18 @@
 
 A manifest holds the table's definition, one base (each live key once) and the changes since. Reading joins the base
 with the latest change of each key, so filters on base columns still reach the Parquet scan; compaction writes a new
-base. All files are reached through Hadoop's file systems, so a store that only Spark reads will do.
+base, and what it replaces stays for a while, for those who are reading it. A manifest is written aside and then named,
+so a reader never sees half of one. All files are reached through Hadoop's file systems, so a store that only Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ class Manifest:
     next_version: int = 1
     rows: int | None = 0  # live keys, as far as known without looking at expiry
     expiring: bool = False
+    retired: list[list] = field(default_factory=list)  # [path, second] of files that compaction has replaced
 
     @property
     def definition(self) -> Table:
@@ -57,7 +61,7 @@ class Store:
         fs, path = self._fs(), self._path(name, "manifest")
         if not fs.exists(path):
             return []
-        return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(path) if s.getPath().getName().endswith(".json"))
+        return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(path) if s.getPath().getName()[:-5].isdigit() and s.getPath().getName().endswith(".json"))
 
     def load(self, name: str) -> Manifest:
         numbers = self._numbers(name)
@@ -71,22 +75,45 @@ class Store:
         return Manifest(**json.loads(text))
 
     def commit(self, name: str, manifest: Manifest) -> Manifest:
-        """Publishes a manifest under its number; fails if someone else has taken that number."""
-        try:
-            out = self._fs().create(self._path(name, "manifest", f"{manifest.number}.json"), False)
-        except Exception as e:
-            raise StaleVersion(f"{name} has changed meanwhile") from e
+        """Publishes a manifest under its number, whole or not at all; fails if someone else has taken that number."""
+        fs, target = self._fs(), self._path(name, "manifest", f"{manifest.number}.json")
+        aside = self._path(name, "manifest", f".{uuid.uuid4().hex}.tmp")
+        out = fs.create(aside, False)
         try:
             out.write(bytearray(json.dumps(manifest.__dict__).encode()))
         finally:
             out.close()
+        try:
+            self._rename(fs, aside, target)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or fs.exists(target):
+                raise StaleVersion(f"{name} has changed meanwhile") from e
+            raise
+        finally:
+            fs.delete(aside, False)
         return manifest
 
+    def _rename(self, fs, source, target) -> None:
+        """Gives a file its final name unless that is taken, in one step."""
+        jvm = self.spark._jvm
+        if fs.getUri().getScheme() == "file":  # a rename would overwrite here, a link doesn't
+            where = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createLink(where(target), where(source))
+            return
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(source, target, options)
+
     def write(self, name: str, rows: DataFrame) -> str:
         path = f"{self.root}/{name}/data/{uuid.uuid4().hex}"
         rows.write.parquet(path)
         return path
 
+    def due(self, manifest: Manifest, grace: float) -> list[str]:
+        """Replaced files that no reader can still be reading."""
+        return [p for p, at in manifest.retired if at + grace <= time.time()]
+
     def drop(self, name: str) -> None:
         self._fs().delete(self._path(name), True)
 
