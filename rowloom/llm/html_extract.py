@@ -1,12 +1,17 @@
 """Main text of web pages by wrapper induction over the pages of each host.
 
 DOM trees of same-host pages are aligned by simple tree matching into one wrapper tree a host. A wrapper node counts
-the pages that fill it and keeps the least and greatest hash of their texts: a node whose text is one and the same on
-all of at least three pages is template, the others are slots. A page's text is then its article, or what stands in
-slots where it has none, outside of parts that mark themselves as menus, adverts, comments and the like.
+the pages that have it and that fill it, keeps the least and greatest hash of their texts, and sums up characters in all
+and in links: a node whose text is one and the same on all of at least three pages is template, the others are slots.
+
+A page's main part is found in the wrapper: from the root down to the container that holds most of what varies from page
+to page and is not in links, as long as there is one; its slots, and headings beside the way, are the text. What authors
+mark helps: parts that call themselves menus, adverts, comments and the like have no weight, and an article's text
+counts though pages share it, since articles have copies.
 
 Every task grows the wrappers of the hosts it meets from whole pages; wrappers of one host, at most one a task, are
-merged by the same matching, first by salted host and then by host. Pages of equal shape share one alignment.
+merged by the same matching one after the other, first by salted host and then by host. Pages of equal shape share one
+alignment.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import re
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import batches
@@ -41,24 +46,35 @@ CHROME_WORDS = set(
 )
 CHROME_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CONTENT_WORDS = set("article entry post story content".split())
+CONTAINERS = set("address article body center dd details div dl fieldset figure form header hgroup html main ol section table tbody td tr ul".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 
+LEAST_SHARE = 0.6  # of a container's weight that one inner container must have to be the main part
+MARKED = 4  # by how much an article outweighs other containers
+RUN = 8  # longer runs of like containers are records of a list, and fold like paragraphs
+
 #: Elements nested deeper are taken as neighbours, so that no page exhausts the stack.
 DEEPEST = 150
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_HOST = re.compile(r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+
+
+class Link(str):
+    """A piece of text inside a link."""
+
+    __slots__ = ()
 
 
 class Node:
     """A block element; ``kids`` holds nodes and pieces of text in order."""
 
-    __slots__ = ("tag", "label", "kids", "up", "depth", "chrome", "article", "slot")
+    __slots__ = ("tag", "label", "kids", "up", "depth", "chrome", "article")
 
     def __init__(self, tag: str, attributes: str, up: Node | None):
-        self.tag, self.kids, self.up, self.slot = tag, [], up, None
+        self.tag, self.kids, self.up = tag, [], up
         self.depth = up.depth + 1 if up else 0
         self.article = bool(up and up.article)
         self.chrome = tag in CHROME
@@ -106,18 +122,20 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of block elements; inline elements dissolve into text. Markup without an end is closed where it must be."""
     root = node = Node("#root", "", None)
-    at, size, skip = 0, len(page), 0
+    at, size, skip, linked = 0, len(page), 0, False
     for m in _TOKEN.finditer(page):
         start = m.start()
         if start < skip:
             continue
         if start > at:
-            node.kids.append(page[at:start])
+            node.kids.append(Link(page[at:start]) if linked else page[at:start])
         at = m.end()
         name = m.group(2)
         if name is None:
             continue
         tag = name.lower()
+        if tag == "a" or tag in BLOCK:
+            linked = tag == "a" and not m.group(1)
         if not m.group(1):
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
@@ -162,8 +180,8 @@ def _close_for(node: Node, tag: str) -> Node:
     return node
 
 
-def blocks(node: Node, out: list[tuple[Node, str]] | None = None) -> list[tuple[Node, str]]:
-    """Texts of blocks in page order, each with its node: references decoded, white space made one space, trimmed."""
+def blocks(node: Node, out: list[tuple[Node, str, int]] | None = None) -> list[tuple[Node, str, int]]:
+    """Texts of blocks in page order, each with its node and how much of it is in links: references decoded, white space made one space, trimmed."""
     if out is None:
         out = []
     held: list[str] = []
@@ -180,21 +198,27 @@ def blocks(node: Node, out: list[tuple[Node, str]] | None = None) -> list[tuple[
     return out
 
 
-def _flush(node: Node, held: list[str], out: list[tuple[Node, str]]) -> None:
-    text = "".join(held)
+def _flush(node: Node, held: list[str], out: list[tuple[Node, str, int]]) -> None:
+    text, linked = "".join(held), sum(len(x) for x in held if type(x) is Link)
     held.clear()
     text = " ".join((html.unescape(text) if "&" in text else text).split())
     if text:
-        out.append((node, text))
+        out.append((node, text, min(linked, len(text))))
 
 
 class Shape:
-    """A node of a wrapper: sibling nodes of one label are folded into one."""
+    """A node of a wrapper: runs of like siblings are folded into one."""
+
+    __slots__ = ("label", "kids", "seen", "pages", "low", "high", "chars", "links")
 
-    __slots__ = ("label", "kids", "pages", "low", "high")
+    def __init__(self, label: str, kids: list[Shape] | None = None):
+        self.label, self.kids = label, kids or []
+        self.seen = self.pages = self.chars = self.links = 0
+        self.low = self.high = ""
 
-    def __init__(self, label: str, pages: int = 0, low: str = "", high: str = "", kids: list[Shape] | None = None):
-        self.label, self.pages, self.low, self.high, self.kids = label, pages, low, high, kids or []
+    @property
+    def tag(self) -> str:
+        return self.label.split(".", 1)[0]
 
     def note(self, digest: str) -> None:
         """One page fills this node with a text of this digest."""
@@ -206,11 +230,31 @@ class Shape:
         return self.pages >= least and self.low == self.high
 
     def packed(self) -> list:
-        return [self.label, self.pages, self.low, self.high, [k.packed() for k in self.kids]]
+        return [self.label, self.seen, self.pages, self.low, self.high, self.chars, self.links, [k.packed() for k in self.kids]]
 
     @classmethod
     def unpacked(cls, x: list) -> Shape:
-        return cls(x[0], x[1], x[2], x[3], [cls.unpacked(k) for k in x[4]])
+        out = cls(x[0], [cls.unpacked(k) for k in x[7]])
+        out.seen, out.pages, out.low, out.high, out.chars, out.links = x[1:7]
+        return out
+
+    def weight(self, marked: bool = False) -> float:
+        """Characters that a page has below here and that are in slots, outside links; ``marked``: inside an article all count."""
+        return self._sum(marked) / max(self.seen, 1)
+
+    def _sum(self, marked: bool) -> int:
+        marked = marked or self.tag in ("article", "main")
+        own = self.chars - self.links if marked or not self.template() else 0
+        return own + sum(k._sum(marked) for k in self.kids)
+
+    def linked(self) -> bool:
+        """Whether most of what stands below here is in links."""
+        chars, links = self._totals()
+        return 2 * links > chars
+
+    def _totals(self) -> tuple[int, int]:
+        inner = [k._totals() for k in self.kids]
+        return self.chars + sum(x[0] for x in inner), self.links + sum(x[1] for x in inner)
 
     def preorder(self) -> list[Shape]:
         out = [self]
@@ -220,15 +264,24 @@ class Shape:
 
 
 def folded(nodes: list[Node], label: str) -> tuple[Shape, list[list[Node]]]:
-    """The shape of sibling nodes taken together, and the nodes behind each of its nodes in preorder."""
+    """The shape of sibling nodes taken together, and the nodes behind each of its nodes in preorder.
+
+    Their children fold by label, but for containers, which stay apart unless one node has more than RUN of a label.
+    """
     shape = Shape(label)
     members = [nodes]
-    groups: dict[str, list[Node]] = {}
+    groups: dict[tuple, list[Node]] = {}
     for n in nodes:
-        for kid in n.kids:
-            if not isinstance(kid, str):
-                groups.setdefault(kid.label, []).append(kid)
-    for name, same in groups.items():
+        kids = [k for k in n.kids if not isinstance(k, str)]
+        counts: dict[str, int] = {}
+        for k in kids:
+            counts[k.label] = counts.get(k.label, 0) + 1
+        met: dict[str, int] = {}
+        for k in kids:
+            apart = k.tag in CONTAINERS and k.tag != "article" and counts[k.label] <= RUN
+            met[k.label] = met.get(k.label, -1) + 1
+            groups.setdefault((k.label, met[k.label] if apart else 0), []).append(k)
+    for (name, _), same in groups.items():
         sub, inner = folded(same, name)
         shape.kids.append(sub)
         members += inner
@@ -286,7 +339,7 @@ def merge(a: Shape, b: Shape) -> Shape:
         if other.pages:
             own.low = min(own.low, other.low) if own.pages else other.low
             own.high = max(own.high, other.high) if own.pages else other.high
-            own.pages += other.pages
+        own.seen, own.pages, own.chars, own.links = (getattr(own, x) + getattr(other, x) for x in ("seen", "pages", "chars", "links"))
     return a
 
 
@@ -296,6 +349,18 @@ class Wrapper:
     def __init__(self, tree: Shape | None = None):
         self.tree = tree or Shape("#root")
         self.known: dict[tuple, list[Shape | None]] = {}
+        self.told: dict = {}  # of wrapper nodes, while pages are extracted
+
+    def _weight(self, shape: Shape, marked: bool) -> float:
+        key = (id(shape), marked)
+        if key not in self.told:
+            self.told[key] = shape.weight(marked)
+        return self.told[key]
+
+    def _linked(self, shape: Shape) -> bool:
+        if id(shape) not in self.told:
+            self.told[id(shape)] = shape.linked()
+        return self.told[id(shape)]
 
     def places(self, root: Node, grow: bool) -> tuple[list[Shape | None], list[list[Node]]]:
         shape, members = folded([root], root.label)
@@ -307,69 +372,100 @@ class Wrapper:
         return self.known[key], members
 
     def learn(self, root: Node) -> None:
-        own: dict[int, list[str]] = {}
+        own: dict[int, list[tuple[str, int]]] = {}
         whole = []
-        for node, text in blocks(root):
-            own.setdefault(id(node), []).append(text)
+        for node, text, linked in blocks(root):
+            own.setdefault(id(node), []).append((text, linked))
             whole.append(text)
         places, members = self.places(root, True)
         for place, nodes in zip(places, members, strict=True):
-            texts = whole if nodes[0] is root else [t for n in nodes for t in own.get(id(n), ())]
+            place.seen += 1
+            held = [(n, *x) for n in nodes for x in own.get(id(n), ())]
+            texts = whole if nodes[0] is root else [t for _, t, _ in held]
             if texts:
                 place.note(blake2b("\n".join(texts).encode(), digest_size=8).hexdigest())
+            place.chars += sum(len(t) for n, t, _ in held if not n.chrome)
+            place.links += sum(x for n, _, x in held if not n.chrome)
 
     def extract(self, root: Node) -> str:
-        """The main text. A host whose pages all have one text tells nothing, so nothing is template there."""
+        """The slots of the page's main part, in page order, and headings beside the way to it.
+
+        A host whose pages all have one text tells nothing, so nothing is template there.
+        """
         places, members = self.places(root, False)
-        if not self.tree.template():
-            for place, nodes in zip(places, members, strict=True):
-                if place is not None and place is not self.tree and place.template():
-                    for n in nodes:
-                        n.slot = False
-        return main_text(root)
+        shape_of = {id(n): place for place, nodes in zip(places, members, strict=True) for n in nodes}
+        plain = self.tree.template()
+        way, inside = self._main(root, shape_of, plain)
+        out = []
+        for node, text, _ in blocks(root):
+            if not node.chrome and (id(node) in inside or node.tag in HEADINGS and id(node.up) in way) and (plain or self._content(node, shape_of)):
+                out.append(text)
+        return "\n".join(out)
+
+    def _main(self, root: Node, shape_of: dict, plain: bool) -> tuple[set[int], set[int]]:
+        """Nodes on the way to the main part, and all nodes in it. Nodes that one wrapper node stands for go together."""
+        here, way, marked = [root], set(), False
+        while True:
+            kids: dict[int, list[Node]] = {}
+            for n in here:
+                for k in n.kids:
+                    if not isinstance(k, str) and k.tag in CONTAINERS and not k.chrome and shape_of.get(id(k)) is not None:
+                        kids.setdefault(id(shape_of[id(k)]), []).append(k)
+            own = shape_of.get(id(here[0]))
+            if own is None or not kids or marked:
+                break
+            weights = {}
+            for place, nodes in kids.items():
+                shape = shape_of[id(nodes[0])]
+                heavy = plain or any(n.article for n in nodes)
+                weights[place] = (self._weight(shape, heavy) * (MARKED if heavy and not plain else 1), len(weights))
+            best = max(weights, key=lambda x: (weights[x][0], -weights[x][1]))
+            chosen = [x for x in weights if any(n.article for n in kids[x]) and weights[x][0]] if any(n.article for n in kids[best]) else [best]
+            total = max(self._weight(own, plain), sum(w for w, _ in weights.values()))
+            if not weights[best][0] or sum(weights[x][0] for x in chosen) < LEAST_SHARE * total:
+                break
+            way.update(id(n) for n in here)
+            here = [n for x in chosen for n in kids[x]]
+            marked = all(n.article for n in here)
+        inside: set[int] = set()
+        open_ = list(here)
+        while open_:
+            n = open_.pop()
+            inside.add(id(n))
+            open_ += [k for k in n.kids if not isinstance(k, str)]
+        return way, inside
+
+    def _content(self, node: Node, shape_of: dict) -> bool:
+        """Whether a block is in a slot: an article's always are; elsewhere neither template nor in a list of links."""
+        if node.article:
+            return True
+        place = shape_of.get(id(node))
+        if place is not None and place.template():
+            return False
+        while node is not None:
+            place = shape_of.get(id(node))
+            if place is not None and node.tag in ("ul", "ol", "table", "div", "section") and self._linked(place):
+                return False
+            node = node.up
+        return True
 
 
 def _key(shape: Shape) -> tuple:
     return (shape.label, *(_key(k) for k in shape.kids))
 
 
-def main_text(root: Node) -> str:
-    """What stands in slots or, where the page has an article, all of the article: copies of one article are constant too."""
-    found = [(n, t, n.slot is not False) for n, t in blocks(root) if not n.chrome]
-    tops: dict[int, list[int]] = {}
-    for n, t, slot in found:
-        top = _article(n)
-        if top is not None:
-            size = tops.setdefault(id(top), [0, 0])
-            size[0] += len(t) * slot
-            size[1] += len(t)
-    if not tops:
-        return "\n".join(t for _, t, slot in found if slot)
-    own = max(tops, key=lambda k: tops[k])  # of most text in slots
-    # a longer one that is constant may be a copied article beside teasers, so both stay
-    chosen = {own} | {k for k in [max(tops, key=lambda k: tops[k][1])] if not tops[k][0]}
-    return "\n".join(t for n, t, _ in found if (top := _article(n)) is not None and id(top) in chosen)
-
-
-def _article(node: Node) -> Node | None:
-    """The outermost article a node is in, None outside of any."""
-    top = None
-    while node is not None and node.article:
-        top, node = node, node.up
-    return top
-
-
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m.group(1).lower() if m else ""
+def host_of(url_col: str) -> Column:
+    """The host that a URL names, in lower case; empty if it names none."""
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 BROADCAST_BYTES = 8 << 20
 _WRAPPERS = "host string, salt int, wrapper string"
 _ARROW = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())])
+SALTS = 64
 
 
-def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 16) -> DataFrame:
+def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = SALTS) -> DataFrame:
     """(host, wrapper): the wrapper of every host, of all its pages with html."""
 
     def grow(frames):
@@ -377,8 +473,7 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts
             held: dict[str, Wrapper] = {}
             part = None
             for batch in frames:
-                for url, page, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    host = host_of(url)
+                for host, page, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     if host not in held and len(held) >= 5000:
                         yield from emit(held, part)
                         held = {}
@@ -391,50 +486,58 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts
 
         yield from batches(out(), _ARROW)
 
-    def joined(frame):
-        trees = [Shape.unpacked(json.loads(x)) for x in frame.column("wrapper").to_pylist()]
-        tree = trees[0]
-        for other in trees[1:]:
-            tree = merge(tree, other)
-        return json.dumps(tree.packed())
+    def merged(frames):
+        """Rows come sorted by host and salt; one wrapper is held at a time."""
+
+        def out():
+            key, tree = None, None
+            for batch in frames:
+                for host, salt, wrapper in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    other = Shape.unpacked(json.loads(wrapper))
+                    if (host, salt) == key:
+                        tree = merge(tree, other)
+                    else:
+                        if key is not None:
+                            yield {"host": key[0], "salt": 0, "wrapper": json.dumps(tree.packed())}
+                        key, tree = (host, salt), other
+            if key is not None:
+                yield {"host": key[0], "salt": 0, "wrapper": json.dumps(tree.packed())}
 
-    def by_salt(key, frame):
-        return pa.table({"host": [key[0].as_py()], "salt": [0], "wrapper": [joined(frame)]}, schema=_ARROW)
+        yield from batches(out(), _ARROW)
 
-    grown = pages.where(F.col(html_col).isNotNull()).select(url_col, html_col, F.spark_partition_id()).mapInArrow(grow, _WRAPPERS)
-    merged = grown.groupBy("host", "salt").applyInArrow(by_salt, _WRAPPERS).groupBy("host").applyInArrow(by_salt, _WRAPPERS)
-    return merged.select("host", "wrapper")
+    grown = pages.where(F.col(html_col).isNotNull()).select(host_of(url_col).alias("host"), F.col(html_col).alias("html"), F.spark_partition_id().alias("part")).mapInArrow(grow, _WRAPPERS)
+    for keys in (["host", "salt"], ["host"]):
+        grown = grown.repartition(*keys).sortWithinPartitions("host", "salt").mapInArrow(merged, _WRAPPERS)
+    return grown.select("host", "wrapper")
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (all by default), ``text`` and ``n_chars`` of every page, one row a row.
 
     A null or empty html gives an empty text; a null url belongs to the host of empty name; hosts of one or two pages
-    have no template but what marks itself; repeated rows each get a row; a column of ``pages`` that has the name of a
-    result is replaced; an empty table gives no rows.
+    have no template, so there only marks, links and lengths tell; repeated rows each get a row; a column of ``pages`` that
+    has the name of a result, in any case, is replaced; an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
-    names = [c for c in (keep if keep is not None else pages.columns) if c not in ("text", "n_chars")]
+    names = [c for c in (keep if keep is not None else pages.columns) if c.lower() not in ("text", "n_chars")]
     wrappers = stored(induce(pages, url_col, html_col), "wrappers")
-    at_url, at_html, at_wrapper = fresh(names, "_url", "_html", "_wrapper")
-    inputs = pages.select(*names, F.col(url_col).alias(at_url), F.col(html_col).alias(at_html))
+    at_host, at_html, at_wrapper = fresh(names, "_host", "_html", "_wrapper")
+    inputs = pages.select(*names, host_of(url_col).alias(at_host), F.col(html_col).alias(at_html))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-2]), "text string", "n_chars long"])
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         held = pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in wrappers.collect()})
         source = inputs.withColumn(at_wrapper, F.lit(None).cast("string"))
     else:
         held = None
-        (own,) = fresh(names, "_host")
-        host = F.lower(F.regexp_extract(F.coalesce(at_url, F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        source = inputs.withColumn(own, host).join(wrappers.select(F.col("host").alias(own), F.col("wrapper").alias(at_wrapper)), own, "left").drop(own)
+        given = wrappers.select(F.col("host").alias(at_host), F.col("wrapper").alias(at_wrapper))
+        source = inputs.join(given, at_host, "left").select(*names, at_host, at_html, at_wrapper)
 
     def run(frames):
         ready: dict[str, Wrapper] = {}
         for batch in frames:
             out = []
-            for url, page, given in zip(*(batch.column(len(names) + i).to_pylist() for i in range(3)), strict=True):
-                host = host_of(url)
+            for host, page, given in zip(*(batch.column(len(names) + i).to_pylist() for i in range(3)), strict=True):
                 if host not in ready:
                     if len(ready) > 5000:
                         ready.clear()
