@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import Slice, lowered, mix, slices, space_mask
 from .packed import batches, bucket_edges, pack, unpack
-from .shared import shuffle_partitions, small_batches, stored
+from .shared import fresh, shuffle_partitions, small_batches, stored
 
 LENGTH = 4  # bytes in an n-gram, which then is a 32-bit number
 UNKNOWN = "und"
@@ -25,7 +25,10 @@ UNKNOWN = "und"
 
 @dataclass
 class LanguageFilter:
-    """``masks``: slots x 64-bit words of language bits; ``languages[i]`` has bit i % 64 of word i // 64."""
+    """``masks``: slots x words of language bits; ``languages[i]`` has bit i % 64 of word i // 64.
+
+    Words are as narrow as the languages allow: up to 8 take a byte a slot.
+    """
 
     languages: list[str]
     masks: np.ndarray
@@ -37,13 +40,14 @@ class LanguageFilter:
         """keys: n-grams; members[i, j]: whether language j contains n-gram i."""
         size = 1 << max(10, int(len(keys) * bits_per_key - 1).bit_length())
         width = max(1, -(-len(languages) // 64))
-        masks = np.zeros((size, width), np.uint64)
+        kind = next((k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if len(languages) <= n), np.uint64)
+        masks = np.zeros((size, width), kind)
         for word in range(width):
             own = members[:, word * 64 : word * 64 + 64]
-            bits = (own.astype(np.uint64) << np.arange(own.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
+            bits = (own.astype(np.uint64) << np.arange(own.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64).astype(kind)
             for slot in _slots(keys, hashes, size):
                 np.bitwise_or.at(masks[:, word], slot, bits)
-        fill = [((masks[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)).mean() for j in range(len(languages))]
+        fill = [((masks[:, j // 64] >> kind(j % 64)) & kind(1)).mean() for j in range(len(languages))]
         return cls(languages, masks, hashes, np.array(fill) ** hashes)
 
     def votes(self, keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -54,7 +58,8 @@ class LanguageFilter:
         n = np.diff(cuts)[:, None]
         out = np.zeros((len(cuts) - 1, len(self.languages)))
         for j in range(len(self.languages)):
-            ones = (found[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)
+            kind = found.dtype.type
+            ones = (found[:, j // 64] >> kind(j % 64)) & kind(1)
             out[:, j] = np.diff(np.concatenate([[0], np.cumsum(ones, dtype=np.int64)])[cuts])
         return np.clip((out - self.false_positive * n) / (1 - np.minimum(self.false_positive, 0.99)), 0, n)
 
@@ -174,12 +179,17 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
 
     ``score`` is the share of the winner's corrected count in those of all languages, 0 if none of the text's n-grams is
     known. A text that is null, empty or without a letter is ``und`` with score 0, as are all texts if nothing was
-    learned; ties go to the language that sorts first; a null id stays null; every repeated row gets its row.
+    learned; ties go to the language that sorts first; a null id stays null; every repeated row gets its row; columns in
+    ``keep`` that are named like a result, in any case, are left out; an empty table gives no rows.
+
+    The filter is broadcast: at most languages / least n-grams (see ``fit``), 16 to 32 slots each, so 128 MB for four
+    languages that each fill theirs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most languages / least n-grams, 16 slots each
-    keep = [c for c in keep or [] if c not in (id_col, "lang_pred", "score")]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep or [] if c.lower() not in (id_col.lower(), "lang_pred", "score")]
+    (at_text,) = fresh([id_col, *keep], "_text")
     names = [id_col, *keep, "lang_pred", "score"]
-    inputs = docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).alias("_text"))
+    inputs = docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).alias(at_text))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-1]), "lang_pred string", "score double"])
 
     def run(frames):

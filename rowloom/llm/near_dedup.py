@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Slice, grams, inside, lowered, mix, ragged, slices, word_hashes, words
-from .shared import connected_components, fresh, small_batches, stored
+from .shared import connected_components, discard, fresh, small_batches, stored
 
 SHINGLE = 5
 COORDINATES = 32
@@ -127,7 +127,9 @@ def candidate_groups(classes: DataFrame, least: int) -> DataFrame:
     prefix = stored(prefix.select("node", F.col("p.key").alias("key")), "prefix")
     heads = prefix.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     edges = prefix.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    return connected_components(edges).select("node", F.col("component").alias("grp"))
+    groups = connected_components(edges).select("node", F.col("component").alias("grp"))
+    discard(prefix)
+    return groups
 
 
 class Merger:
@@ -257,7 +259,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, block: i
     reps = prints.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "node"), ["doc_id", "d1", "d2"])
     groups = candidate_groups(reps.select("node", "signature").dropDuplicates(["node"]), matches(percent))
     found = stored(links(docs, groups.join(classes, "node"), id_col, text_col, percent, block, shingle), "links")
-    parts = classes.join(connected_components(found), "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+    joined = connected_components(found)
+    discard(found)
+    parts = classes.join(joined, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
     least = parts.groupBy("node").agg(F.min("rep").alias("component"))
     named = parts.join(least, "node").select("d1", "d2", "node", "component")
     out = prints.drop("signature").join(named, ["d1", "d2"], "left")

@@ -1,17 +1,21 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model interpolates absolutely discounted bigrams with add-0.1 unigrams:
-``p(w|v) = max(c(v,w) - d, 0) / c(v) + d * n(v) / c(v) * p(w)``, n(v) being the distinct words seen after v.
+The model interpolates absolutely discounted n-grams, order by order down to add-0.1 unigrams:
+``p(w|u v) = max(c(u v,w) - d, 0) / c(u v) + d * n(u v) / c(u v) * p(w|v)``, n being the distinct words seen after a context.
 
 It grows with the corpus, so it is never in one place. Contexts are dealt to buckets; each bucket sums its counts,
 builds its part of the trie, and answers for exactly the n-grams that each slice of documents has asked for:
 
-* a slice of documents (some megabytes of whole texts) sends every bucket its distinct words and bigrams with their
+* a slice of documents (some megabytes of whole texts) sends every bucket that has any its distinct n-grams with their
   training counts, packed, so a frequent context costs a bucket one entry a slice and distinct follower;
 * a bucket replies with exact word counts, and with quantised probabilities looked up in its trie;
 * replies and texts of a slice meet, and every document is scored. The texts travel along, compressed.
 
-Two shuffles in all; nothing reaches the driver.
+Two shuffles, after a pass that counts tokens and distinct words; only these two numbers reach the driver. A level's file is a temporary one of the task that made it, made anew
+if the task is.
+
+Words are told by 64 bits. A context is told by 32 bits besides those that chose its bucket, so by more the more buckets
+the corpus needs; its followers by 32 bits.
 """
 
 from __future__ import annotations
@@ -30,16 +34,17 @@ from pyspark.sql import functions as F
 
 from .arrowtext import lowered, mix, slices, word_hashes, words
 from .language_id import remainder
-from .packed import batches, pack, unpack
-from .shared import shuffle_partitions, small_batches
+from .packed import batches, bucket_edges, pack, unpack
+from .shared import buckets_for, small_batches
 
 DISCOUNT = 0.75
-SLICE = 10 << 20
+ORDER = 3
+SLICE = 14 << 20
 END = mix(np.array([0xE0D], np.uint64))[0]
 START = mix(np.array([0x57A47], np.uint64))[0]
 
 #: Quantised log10 probabilities: code 0 is "none", code c stands for -(255 - c) * STEP.
-STEP = 8 / 254
+STEP = 12 / 254
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -126,11 +131,41 @@ class EliasFano:
         return [self.low, self.high, self.ones]
 
 
-class BigramTrie:
-    """Contexts, pointers to their followers, and followers, with a quantised number at each node.
+def _mapped(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """The arrays in an unnamed file that is mapped, so that memory holds only what is looked at."""
+    with tempfile.TemporaryFile() as file:
+        for a in parts:
+            file.write(np.ascontiguousarray(a).tobytes() + b"\0" * (-a.nbytes % 8))
+        file.flush()
+        mapped = np.memmap(file, np.uint8, "r") if file.tell() else np.zeros(0, np.uint8)
+    at, views = 0, []
+    for a in parts:
+        views.append(mapped[at : at + a.nbytes].view(a.dtype))
+        at += a.nbytes + (-a.nbytes % 8)
+    return views
+
+
+class Unigrams:
+    """The trie's first level: the words of a bucket, and how often each was seen."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        """words: rising 64-bit hashes."""
+        self.words = EliasFano.build(words, 1 << 64)
+        self.words.low, self.words.high, self.words.ones, self.counts = _mapped([*self.words.arrays(), counts.astype(np.int64)])
+
+    def look_up(self, words: np.ndarray) -> np.ndarray:
+        if not self.words.n:
+            return np.zeros(len(words), np.int64)
+        at = self.words.successor(words)
+        safe = np.minimum(at, self.words.n - 1)
+        return np.where((at < self.words.n) & (self.words.get(safe) == words), self.counts[safe], 0)
+
+
+class Level:
+    """A further level: contexts, pointers to their followers, and followers, with a quantised number at each node.
 
     Followers are numbered context by context: entry ``rank(context) * 2**32 + follower`` of one Elias-Fano sequence,
-    searched for within its context's range. Levels live in a memory-mapped file.
+    searched for within its context's range. Everything lives in a memory-mapped file.
     """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT):
@@ -143,25 +178,12 @@ class BigramTrie:
         self.contexts = EliasFano.build(context[first], 1 << 32)
         self.pointers = EliasFano.build(np.concatenate([first, [len(keys)]]), len(keys) + 1)
         self.followers = EliasFano.build(rank << np.uint64(32) | keys & np.uint64(0xFFFFFFFF), max(1, len(first)) << 32)
-        self.seen = quantise(np.maximum(counts - discount, 0) / np.repeat(total, sizes))
-        self.back_off = quantise(np.minimum(discount * sizes / np.maximum(total, 1), 1.0))
-        self._map()
-
-    def _map(self) -> None:
-        """Moves all levels to an unnamed file and maps it, so that memory holds only what is looked at."""
-        parts = [a for level in (self.contexts, self.pointers, self.followers) for a in level.arrays()] + [self.seen, self.back_off]
-        with tempfile.TemporaryFile() as file:
-            for a in parts:
-                file.write(np.ascontiguousarray(a).tobytes() + b"\0" * (-a.nbytes % 8))
-            file.flush()
-            mapped = np.memmap(file, np.uint8, "r")
-        at = 0
-        views = []
-        for a in parts:
-            views.append(mapped[at : at + a.nbytes].view(a.dtype))
-            at += a.nbytes + (-a.nbytes % 8)
-        for k, level in enumerate((self.contexts, self.pointers, self.followers)):
-            level.low, level.high, level.ones = views[3 * k : 3 * k + 3]
+        seen = quantise(np.maximum(counts - discount, 0) / np.repeat(total, sizes))
+        back_off = quantise(np.minimum(discount * sizes / np.maximum(total, 1), 1.0))
+        levels = (self.contexts, self.pointers, self.followers)
+        views = _mapped([a for x in levels for a in x.arrays()] + [seen, back_off])
+        for k, x in enumerate(levels):
+            x.low, x.high, x.ones = views[3 * k : 3 * k + 3]
         self.seen, self.back_off = views[9:]
 
     def rank(self, contexts: np.ndarray) -> np.ndarray:
@@ -195,11 +217,11 @@ class BigramTrie:
 
 @dataclass
 class Tokens:
-    """Tokens of some documents in order, an END after each: hashes, those before them, and document numbers."""
+    """Tokens of some documents in order, an END after each: hashes, document numbers, and places in the document."""
 
     word: np.ndarray
-    before: np.ndarray
     doc: np.ndarray
+    place: np.ndarray
 
     @classmethod
     def of(cls, column: pa.Array) -> Tokens:
@@ -211,46 +233,144 @@ class Tokens:
             docs.append(np.insert(w.doc, places, np.arange(len(s))) + s.first)
         word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        before = np.concatenate([[START], word[:-1]]).astype(np.uint64)[: len(word)]
-        before[1:][doc[1:] != doc[:-1]] = START
-        return cls(word, before, doc)
+        first = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
+        at = np.arange(len(doc))
+        return cls(word, doc, at - np.maximum.accumulate(np.where(first, at, 0)))
 
-    def bigrams(self) -> np.ndarray:
-        return (self.before & np.uint64(0xFFFFFFFF00000000)) | self.word >> np.uint64(32)
+    def contexts(self, n: int) -> np.ndarray:
+        """A hash of the n tokens before each; STARTs stand before a document."""
+        out = np.zeros(len(self.word), np.uint64)
+        for k in range(1, n + 1):
+            before = np.full(len(self.word), START, np.uint64)
+            before[k:] = np.where(self.place[k:] >= k, self.word[:-k], START)
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + before)
+        return out
 
 
-def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in rising 64-bit keys."""
-    top = keys >> np.uint64(32)
-    return np.searchsorted((top * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), np.arange(buckets + 1))
+@dataclass
+class Grams:
+    """Distinct n-grams of some tokens by bucket: keys that rise within each, bucket edges, and each token's n-gram."""
+
+    keys: np.ndarray
+    edges: np.ndarray
+    back: np.ndarray
+
+    @classmethod
+    def of(cls, t: Tokens, n: int, buckets: int) -> Grams:
+        """Unigrams have the words' hashes for keys, others context << 32 | follower; low bits choose the bucket."""
+        chooser = t.word if n == 1 else t.contexts(n - 1)
+        keys = t.word if n == 1 else (chooser & np.uint64(0xFFFFFFFF00000000)) | t.word >> np.uint64(32)
+        bucket = ((chooser & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+        order = np.lexsort((keys, bucket))
+        keys, bucket = keys[order], bucket[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return cls(keys[new], np.searchsorted(bucket[new], np.arange(buckets + 1)), back)
+
+    def runs(self) -> np.ndarray:
+        """Where each context's followers begin, all buckets in one; and the end."""
+        context = self.keys >> np.uint64(32)
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        new[self.edges[self.edges < len(context)]] = True
+        return np.append(np.flatnonzero(new), len(context))
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rising bigram keys as contexts, followers a context, followers."""
+    """Rising keys as contexts, followers a context, followers."""
     context = (keys >> np.uint64(32)).astype(np.uint32)
     first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return context[first], np.diff(np.concatenate([first, [len(keys)]])).astype(np.int32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return context[first], np.diff(np.concatenate([first, [len(keys)]])).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def squeezed(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers byte plane by byte plane, compressed; small numbers take little room."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return np.frombuffer(zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes()), np.uint8)
+
+
+def unsqueezed(x: np.ndarray, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x.tobytes()), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).reshape(-1)
+
+
+def _packed_grams(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    context, n, follower = _runs(keys)
+    return pack(squeezed(np.diff(context, prepend=np.uint32(0))), squeezed(n), np.ascontiguousarray(follower).view(np.uint8), squeezed(counts))
+
+
+def _unpacked_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    context, n, follower, counts = unpack(blob, np.uint8, np.uint8, np.uint8, np.uint8)
+    context = np.cumsum(unsqueezed(context, np.uint32), dtype=np.uint32)
+    return np.repeat(context, unsqueezed(n, np.uint32)).astype(np.uint64) << np.uint64(32) | follower.view(np.uint32), unsqueezed(counts, np.uint32)
+
+
+def vocabulary(texts: DataFrame, buckets: int) -> tuple[int, int]:
+    """Tokens of all texts, and how many distinct ones there are."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
+
+    def emit(held: list[np.ndarray], n: int):
+        words = np.unique(np.concatenate(held))
+        edges = bucket_edges(words, buckets)
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            yield {"bucket": b, "n": n, "blob": pack(squeezed(np.diff(words[edges[b] : edges[b + 1]], prepend=np.uint64(0))))}
+            n = 0  # told once
+
+    def post(frames):
+        def out():
+            held, size, n = [], 0, 0
+            for batch in frames:
+                for s in slices(batch.column(0)):
+                    w = words(s)
+                    n += len(w) + len(s)
+                    held.append(np.unique(np.append(word_hashes(lowered(s.data), w), END)))
+                    size += len(held[-1])
+                    if size > 2_000_000:
+                        yield from emit(held, n)
+                        held, size, n = [], 0, 0
+            if held:
+                yield from emit(held, n)
+
+        yield from batches(out(), schema)
+
+    def count(frames):
+        parts, n = [], 0
+        for batch in frames:
+            n += sum(batch.column(1).to_pylist())
+            parts += [np.cumsum(unsqueezed(unpack(x, np.uint8)[0], np.uint64)) for x in batch.column(2).to_pylist()]
+        known = len(np.unique(np.concatenate(parts))) if parts else 0
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "distinct": pa.array([known], pa.int64())})
+
+    counted = texts.mapInArrow(post, "bucket int, n long, blob binary").repartition(buckets, "bucket").mapInArrow(count, "n long, distinct long")
+    total = counted.agg(F.sum("n"), F.sum("distinct")).first()
+    return total[0] or 0, total[1] or 0
 
 
-DOCS, WORDS, PAIRS = 0, 1, 2
+DOCS = 0  # n-grams of order n have kind n
 _SCHEMA = "dest int, slice long, kind int, bucket int, blob binary"
 _ARROW = pa.schema([("dest", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, discount: float = DISCOUNT, slice_bytes: int = SLICE) -> DataFrame:
+def score_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, discount: float = DISCOUNT, slice_bytes: int = SLICE, order: int = ORDER
+) -> DataFrame:
     """Scores every text with a model of all texts outside fold 0 (crc32 of the id as text, modulo ``folds``).
 
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (unigrams) and
-    ``score`` (the trie), one row a row. Tokens are lower-cased words and an end. Counts are exact; the model's numbers
-    are quantised to 8 bits.
+    ``score`` (the trie of n-grams up to ``order``), one row a row. Tokens are lower-cased words and an end. Counts of
+    words are exact; the model's numbers above are quantised to 8 bits.
 
     A null text counts as empty and has its end token only; a null id is held out; repeated rows each count and each
     get a row; without training rows, c = N = V = 0 and every token has probability 1; an empty table gives no rows;
     other columns are not read.
     """
     small_batches(docs.sparkSession)
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = buckets_for(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (remainder(id_col, folds) == 0).alias("held"), F.col(text_col).alias("text"))
+    total, distinct = vocabulary(rows.where("not held").select("text"), buckets)
 
     def post(frames):
         part, slices_done = TaskContext.get().partitionId(), itertools.count()
@@ -259,25 +379,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             t = Tokens.of(texts)
             train = ~held[t.doc]
             plain = texts.cast(pa.large_binary())
-            data = zstandard.ZstdCompressor(level=1).compress(b"".join(x or b"" for x in plain.to_pylist()))
+            data = zstandard.ZstdCompressor(level=4).compress(b"".join(x or b"" for x in plain.to_pylist()))
             sizes = pa.compute.fill_null(pa.compute.binary_length(plain), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             null = ids.is_null().to_numpy(zero_copy_only=False)
             blob = pack(ids.fill_null(0).to_numpy(), null, held, sizes, np.frombuffer(data, np.uint8))
             number = next(slices_done)
             name = part << 32 | number  # of this slice alone, also where another has equal rows
             yield {"dest": (part + number) % buckets, "slice": name, "kind": DOCS, "bucket": 0, "blob": blob}
-            keys, back = np.unique(t.word, return_inverse=True)
-            counts = np.bincount(back, train, len(keys)).astype(np.uint32)
-            cut = _spread(keys, buckets)
-            for b in range(buckets):
-                own = slice(cut[b], cut[b + 1])
-                yield {"dest": b, "slice": name, "kind": WORDS, "bucket": b, "blob": pack(keys[own], counts[own])}
-            keys, back = np.unique(t.bigrams(), return_inverse=True)
-            counts = np.bincount(back, train, len(keys)).astype(np.uint32)
-            cut = _spread(keys, buckets)
-            for b in np.flatnonzero(np.diff(cut)).tolist():
-                own = slice(cut[b], cut[b + 1])
-                yield {"dest": b, "slice": name, "kind": PAIRS, "bucket": b, "blob": pack(*_runs(keys[own]), counts[own])}
+            for n in range(1, order + 1):
+                g = Grams.of(t, n, buckets)
+                counts = np.bincount(g.back, train, len(g.keys)).astype(np.uint32)
+                for b in np.flatnonzero(np.diff(g.edges)).tolist():
+                    own = slice(g.edges[b], g.edges[b + 1])
+                    if n == 1:
+                        blob = pack(squeezed(np.diff(g.keys[own], prepend=np.uint64(0))), squeezed(counts[own]))
+                    else:
+                        blob = _packed_grams(g.keys[own], counts[own])
+                    yield {"dest": b, "slice": name, "kind": n, "bucket": b, "blob": blob}
 
         def out():
             held, size = [], 0
@@ -317,29 +435,29 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def replies():
             for kind, bucket in sorted(asked):
                 messages = asked.pop((kind, bucket))
-                yield from (words_of if kind == WORDS else pairs_of)(bucket, messages)
+                yield from (words_of if kind == 1 else grams_of)(kind, bucket, messages)
 
-        def words_of(bucket, messages):
-            parts = [unpack(blob, np.uint64, np.uint32) for _, blob in messages]
+        def summed(parts):
             keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-            sums, at = np.array([counts.sum(), (counts > 0).sum()], np.int64), 0
-            for (name, _), p in zip(messages, parts, strict=True):
-                yield {"dest": 0, "slice": name, "kind": WORDS, "bucket": bucket, "blob": pack(sums, counts[back[at : at + len(p[0])]].astype(np.uint32))}
-                at += len(p[0])
-
-        def pairs_of(bucket, messages):
-            parts = [unpack(blob, np.uint32, np.int32, np.uint32, np.uint32) for _, blob in messages]
-            keys = np.concatenate([np.repeat(c, n).astype(np.uint64) << np.uint64(32) | f for c, n, f, _ in parts])
-            keys, back = np.unique(keys, return_inverse=True)
-            counts = np.bincount(back, np.concatenate([p[3] for p in parts]), len(keys))
-            trie = BigramTrie(keys[counts > 0], counts[counts > 0], discount)
-            contexts, sizes, followers = _runs(keys)
-            seen, back_off = trie.look_up(contexts, sizes, followers)
-            at = 0
-            for (name, _), (c, n, f, _) in zip(messages, parts, strict=True):
-                yield {"dest": 0, "slice": name, "kind": PAIRS, "bucket": bucket, "blob": pack(seen[back[at : at + len(f)]], back_off[np.searchsorted(contexts, c)], n)}
-                at += len(f)
+            return keys, np.bincount(back, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+        def words_of(kind, bucket, messages):
+            parts = []
+            for _, blob in messages:
+                keys, counts = unpack(blob, np.uint8, np.uint8)
+                parts.append((np.cumsum(unsqueezed(keys, np.uint64)), unsqueezed(counts, np.uint32)))
+            keys, counts = summed(parts)
+            level = Unigrams(keys[counts > 0], counts[counts > 0])
+            for (name, _), (words, _) in zip(messages, parts, strict=True):
+                yield {"dest": 0, "slice": name, "kind": kind, "bucket": bucket, "blob": pack(squeezed(level.look_up(words).astype(np.uint64)))}
+
+        def grams_of(kind, bucket, messages):
+            parts = [_unpacked_grams(blob) for _, blob in messages]
+            keys, counts = summed(parts)
+            level = Level(keys[counts > 0], counts[counts > 0], discount)
+            for (name, _), (own, _) in zip(messages, parts, strict=True):
+                seen, back_off = level.look_up(*_runs(own))
+                yield {"dest": 0, "slice": name, "kind": kind, "bucket": bucket, "blob": pack(squeezed(seen), squeezed(back_off))}
 
         yield from batches(replies(), _ARROW)
 
@@ -362,18 +480,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         column = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text))
         t = Tokens.of(column)
-        single = [unpack(blob, np.int64, np.uint32) for kind, _, blob in held if kind == WORDS]
-        pairs = [unpack(blob, np.uint8, np.uint8, np.int32) for kind, _, blob in held if kind == PAIRS]
-        total, distinct = sum(int(x[0][0]) for x in single), sum(int(x[0][1]) for x in single)
-        _, back = np.unique(t.word, return_inverse=True)
-        count = np.concatenate([x[1] for x in single])[back]
-        p1 = (count + 0.1) / (total + 0.1 * (distinct + 1))
-        _, back = np.unique(t.bigrams(), return_inverse=True)
-        seen = DECODED[np.concatenate([x[0] for x in pairs])[back]]
-        rest = np.concatenate([np.repeat(x[1], x[2]) for x in pairs])[back]
-        p2 = seen + np.where(rest == 0, 1.0, DECODED[rest]) * p1  # a context never seen leaves all to the unigrams
+        answers = lambda n, *kinds: [unpack(blob, *kinds) for kind, _, blob in held if kind == n]
+        g = Grams.of(t, 1, buckets)
+        count = np.concatenate([unsqueezed(x[0], np.uint64) for x in answers(1, np.uint8)])[g.back]
+        p1 = p = (count + 0.1) / (total + 0.1 * (distinct + 1))
+        for k in range(2, order + 1):
+            g = Grams.of(t, k, buckets)
+            both = answers(k, np.uint8, np.uint8)
+            seen = DECODED[np.concatenate([unsqueezed(x[0], np.uint8) for x in both])[g.back]]
+            rest = np.repeat(np.concatenate([unsqueezed(x[1], np.uint8) for x in both]), np.diff(g.runs()))[g.back]
+            p = seen + np.where(rest == 0, 1.0, DECODED[rest]) * p  # a context never seen leaves all to the order below
         n = len(ids)
-        sums = [np.bincount(t.doc, np.log10(p), n) for p in (p1, p2)]
+        sums = [np.bincount(t.doc, np.log10(x), n) for x in (p1, p)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, mask=null), pa.array(flags), pa.array(np.bincount(t.doc, minlength=n).astype(np.int64)),

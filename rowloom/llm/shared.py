@@ -5,36 +5,13 @@ from __future__ import annotations
 import contextlib
 import gc
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: this cuts the lineage and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._stored_at = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a ``stored`` DataFrame that nothing will read again."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+from ..scratch import discard, shared_folder, stored
 
+__all__ = ["batch_rows", "buckets_for", "connected_components", "discard", "fresh", "release_shuffles", "shared_folder", "shuffle_partitions", "small_batches", "stored"]
 
 def fresh(columns: list[str], *names: str) -> list[str]:
     """Names for helper columns that no column has, whatever its case."""
@@ -64,7 +41,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def small_batches(spark: SparkSession, rows: int = 1500) -> None:
     """Bounds the Arrow batches of texts that go to Python, unless the session has its own bound.
 
-    By default a batch has 10,000 rows, of which the JVM and the Python worker hold several copies.
+    By default a batch has 10,000 rows, of which the JVM and the Python worker hold several copies. Plans read the setting
+    when they run, so it stays for the session.
     """
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(rows))

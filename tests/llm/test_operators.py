@@ -191,7 +191,7 @@ def test_language_model(docs, odd, texts):
         ahead[a] += k
         follow[a] += 1
     p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    got = by_id(ngram_lm.score_documents(docs, slice_bytes=4000))
+    got = by_id(ngram_lm.score_documents(docs, slice_bytes=4000, order=2))
     for i, t in enumerate(tokens):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(t), sum(c[w] > 0 for w in t), n)

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from rowloom.llm import sentencepieces
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -57,7 +58,7 @@ def near(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
                 x, y = sorted((find(i), find(j)))
                 up[y] = x
     return [r for i, r in enumerate(rows) if find(i) == i]
@@ -77,15 +78,30 @@ def mix(rows):
         if not over:
             break
         open_ -= over
+    digits = lambda r: size(r).bit_length() or 1
     for s in sorted(sizes):
         target = level * weights[s] if s in open_ else 3 * sizes[s]
-        ratio = target / sizes[s]
-        left, until = (ratio - int(ratio)) * sizes[s], 0
-        u = lambda r: (int(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
-        for r in sorted((r for r in rows if r["source"] == s), key=u):
+        own = [r for r in rows if r["source"] == s]
+        classes = collections.Counter()
+        for r in own:
+            classes[digits(r)] += size(r)
+        # copies in proportion to the binary digits of the size, three at the most
+        c = next((x for b in sorted(classes, reverse=True) if (x := (target - 3 * sum(n for k, n in classes.items() if k > b)) / sum(n * k for k, n in classes.items() if k <= b)) * b <= 3), None)
+        copies = {b: 3.0 if c is None or c * b > 3 else c * b for b in classes}
+        left, until = target - sum(n * int(copies[b]) for b, n in classes.items()), 0
+        p = lambda r: copies[digits(r)] - int(copies[digits(r)])  # noqa: B023, E731
+
+        def odds(r):
+            text = hashlib.md5(r["text"].encode()).hexdigest()
+            u = (int(hashlib.md5(f"mix:{r['doc_id']}:{text}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            return (u / (1 - u)) / (p(r) / (1 - p(r)))  # noqa: B023
+
+        for r in own:
+            yield from [r] * int(copies[digits(r)])
+        for r in sorted((r for r in own if p(r) > 0), key=odds):
             until += size(r)
-            drawn = left > 0 and (until <= left or 2 * left > 2 * until - size(r))
-            yield from [r] * (int(ratio) + drawn)
+            if left > 0 and (until <= left or 2 * left > 2 * until - size(r)):
+                yield r
 
 
 def test_against_plain_stages(spark, folder):
@@ -104,6 +120,26 @@ def test_against_plain_stages(spark, folder):
     assert all(r.round_trip and model.decode(r.ids) == r.text and r.n_tokens == len(r.ids) for r in got)
 
 
+def test_stages_take_odd_rows(spark, folder):
+    """Nulls in every column, repeated rows, shared ids, a long text and columns that are named like results."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, LANG_PRED string, n_lines string, n_removed string, node string, _id string, copies string"
+    extra = lambda rows: spark.createDataFrame([(*r, "s", "l", "nl", "nr", "no", "i", "c") for r in rows], schema)
+    long = "la casa es muy grande y la ciudad es bonita " * 30_000
+    rows = [(None, None, None, None, None), (None, "", "en", "x", 0), (5, "the one text of five, which has some words", "en", None, 1), (5, "the other text of five, which has other words", "en", "y", 1)]
+    rows += [(6, "a text that is there twice with its id and all", "en", "x", 1)] * 2 + [(7, long, "es", "x", len(long)), (None, "a text without an id, which is in English", None, "x", 1)]
+    df = extra([tuple(r) for r in docs.collect()] + rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = corpus_pipeline.stored(stage(spark, df, folder), "odd")
+        assert df.columns == extra(rows).columns, name
+        assert {tuple(r)[5:] for r in df.select(*df.columns).distinct().collect()} == {("s", "l", "nl", "nr", "no", "i", "c")}, name
+        found = {(r.doc_id, r.text) for r in df.collect()}
+        assert name == "mixing" or {(i, t) for i, t, *_ in rows[2:]} <= found, name
+        if name == "near_dedup":
+            assert df.where(F.col("text") == rows[4][1]).count() == 1
+    assert df.count() == corpus_pipeline.encode(spark, df, folder).where("round_trip").count()
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
