@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .arrowtext import lowered, mix, slices, word_hashes, words
 from .language_id import remainder
 from .packed import batches, bucket_edges, pack, unpack
-from .shared import buckets_for, small_batches
+from .shared import buckets_for, release_shuffles, small_batches
 
 DISCOUNT = 0.75
 ORDER = 3
@@ -298,14 +298,19 @@ def unsqueezed(x: np.ndarray, kind: type) -> np.ndarray:
 
 
 def _packed_grams(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """N-grams of a message: contexts by their distances, followers by their numbers among the message's distinct ones."""
     context, n, follower = _runs(keys)
-    return pack(squeezed(np.diff(context, prepend=np.uint32(0))), squeezed(n), np.ascontiguousarray(follower).view(np.uint8), squeezed(counts))
+    known, number = np.unique(follower, return_inverse=True)
+    number = number.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
+    return pack(squeezed(np.diff(context, prepend=np.uint32(0))), squeezed(n), squeezed(np.diff(known, prepend=np.uint32(0))), squeezed(number), squeezed(counts))
 
 
 def _unpacked_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    context, n, follower, counts = unpack(blob, np.uint8, np.uint8, np.uint8, np.uint8)
+    context, n, known, number, counts = unpack(blob, *[np.uint8] * 5)
     context = np.cumsum(unsqueezed(context, np.uint32), dtype=np.uint32)
-    return np.repeat(context, unsqueezed(n, np.uint32)).astype(np.uint64) << np.uint64(32) | follower.view(np.uint32), unsqueezed(counts, np.uint32)
+    known = np.cumsum(unsqueezed(known, np.uint32), dtype=np.uint32)
+    follower = known[unsqueezed(number, np.uint16 if len(known) <= 1 << 16 else np.uint32)]
+    return np.repeat(context, unsqueezed(n, np.uint32)).astype(np.uint64) << np.uint64(32) | follower, unsqueezed(counts, np.uint32)
 
 
 def vocabulary(texts: DataFrame, buckets: int) -> tuple[int, int]:
@@ -371,6 +376,7 @@ def score_documents(
     buckets = buckets_for(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (remainder(id_col, folds) == 0).alias("held"), F.col(text_col).alias("text"))
     total, distinct = vocabulary(rows.where("not held").select("text"), buckets)
+    release_shuffles(docs.sparkSession)
 
     def post(frames):
         part, slices_done = TaskContext.get().partitionId(), itertools.count()
@@ -379,7 +385,7 @@ def score_documents(
             t = Tokens.of(texts)
             train = ~held[t.doc]
             plain = texts.cast(pa.large_binary())
-            data = zstandard.ZstdCompressor(level=4).compress(b"".join(x or b"" for x in plain.to_pylist()))
+            data = zstandard.ZstdCompressor(level=9).compress(b"".join(x or b"" for x in plain.to_pylist()))
             sizes = pa.compute.fill_null(pa.compute.binary_length(plain), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             null = ids.is_null().to_numpy(zero_copy_only=False)
             blob = pack(ids.fill_null(0).to_numpy(), null, held, sizes, np.frombuffer(data, np.uint8))
