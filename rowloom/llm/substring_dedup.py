@@ -34,7 +34,8 @@ from .shared import buckets_for, fresh, release_shuffles, small_batches, stored
 
 LENGTH = 20
 GRAM = 6
-SHARD_WORDS = 60_000
+SHARD_WORDS = 30_000
+PASS_WORDS = 400_000  # of a bucket that are matched at a time, unless one anchor has more
 POST_BYTES = 4 << 20  # of text whose anchors travel together
 LAST_ID = (1 << 63) - 1
 HOT = 200_000  # rows of one key that may meet in a task
@@ -266,16 +267,31 @@ def matched_spans(classes: DataFrame, length: int, gram: int, buckets: int, shar
             return
         columns = [np.concatenate([p[i] for p in parts]) for i in range(7)]
         del parts
-        for id_, row, start, end, copies in matched(*columns, length, shard_words):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(id_), pa.array(row), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(len(id_), copies))],
-                ["id", "row", "start", "end", "copies"],
-            )
+        for own in _passes(columns[0], columns[4], PASS_WORDS):
+            begin = np.cumsum(columns[4], dtype=np.int64) - columns[4]
+            body = columns[6][ragged(begin[own], columns[4][own])]
+            for id_, row, start, end, copies in matched(*(c[own] for c in columns[:6]), body, length, shard_words):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(id_), pa.array(row), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(len(id_), copies))],
+                    ["id", "row", "start", "end", "copies"],
+                )
 
     dealt_out = classes.select("id", "row", "start", "words", "many").mapInArrow(post, "bucket int, blob binary").repartition(buckets, "bucket")
     return dealt_out.mapInArrow(match, "id long, row long, start int, end int, copies boolean")
 
 
+def _passes(key: np.ndarray, size: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """Numbers of stretches with about ``words`` words together, all of a key in one pass."""
+    order = np.argsort(key, kind="stable")
+    total, ordered = np.cumsum(size[order], dtype=np.int64), key[order]
+    a = 0
+    while a < len(order):
+        b = int(np.searchsorted(total, (total[a - 1] if a else 0) + words, "right"))
+        b = int(np.searchsorted(ordered, ordered[min(max(b, a), len(order) - 1)], "right"))
+        yield order[a:b]
+        a = b
+
+
 def _firsts(key: np.ndarray, body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For every stretch the first one, in the order given, that has its words."""
     longest = int(size.max(initial=0))
