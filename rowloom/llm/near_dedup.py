@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import Slice, grams, inside, lowered, mix, ragged, slices, word_hashes, words
@@ -126,8 +126,12 @@ def candidate_groups(classes: DataFrame, least: int) -> DataFrame:
     prefix = of_doc.where(F.size("keys") >= least).select("node", F.explode(F.slice("keys", 1, F.size("keys") - least + 1)).alias("p"))
     prefix = stored(prefix.select("node", F.col("p.key").alias("key")), "prefix")
     heads = prefix.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    edges = prefix.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    groups = connected_components(edges).select("node", F.col("component").alias("grp"))
+    # a node goes with the least head of its lists, so that only heads need edges, and equal ones only once
+    own = prefix.join(heads, "key").select("node", "head").withColumn("root", F.min("head").over(Window.partitionBy("node")))
+    own = stored(own, "roots")
+    joined = connected_components(own.where("head <> root").select(F.col("head").alias("a"), F.col("root").alias("b")).distinct())
+    roots = own.groupBy("node").agg(F.min("root").alias("root"))
+    groups = roots.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("grp"))
     discard(prefix)
     return groups
 
