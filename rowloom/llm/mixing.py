@@ -17,6 +17,9 @@ from .shared import fresh, stored
 #: Ranks are first narrowed down by sums over this many intervals, twice; so no task sees a whole source.
 INTERVALS = 256
 
+#: Rows of the sources' plan (a source and importance each, some 100 bytes) that are sent to all tasks.
+FEW_PLANS = 100_000
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -95,7 +98,11 @@ def _drawn(docs: DataFrame, id_col: str, source_col: str, text_col: str, most: i
     rows = stored(rows, "sizes")  # narrow columns, read several times below
     targets = source_targets(rows.select("source", "size"), most)
     plan = stored(expected_copies(rows.select("source", "importance", "size"), targets, most), "plan")
-    ranked = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("importance") == F.col("_importance"))).drop("_source", "_importance")
+    # a few rows a source: sent to all tasks if they are counted to be few, else rows are dealt by source, split where hot
+    few = plan.count() <= FEW_PLANS
+    sent = F.broadcast if few else lambda df: df
+    on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("importance") == F.col("_importance"))
+    ranked = rows.join(sent(plan), on).drop("_source", "_importance")
     u = uniform(F.col(id_col), F.col("digest"), seed)
     q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     place = F.when(F.col("p") > 0, q / (1 + q)).otherwise(2.0)  # in (0, 1), in the order of q; then what isn't drawn
@@ -103,9 +110,9 @@ def _drawn(docs: DataFrame, id_col: str, source_col: str, text_col: str, most: i
     fine = F.least(F.floor(F.col("place") * INTERVALS * INTERVALS), F.lit(INTERVALS * INTERVALS - 1))
     ranked = ranked.withColumn("fine", fine).withColumn("coarse", F.floor(F.col("fine") / INTERVALS))
     edge = _edge(ranked, "coarse", [])
-    ranked = _with_edge(ranked, edge, "coarse")
+    ranked = _with_edge(ranked, sent(edge), "coarse")
     edge = _edge(ranked.where("coarse = edge_coarse"), "fine", ["before_coarse"])
-    ranked = _with_edge(ranked, edge, "fine")
+    ranked = _with_edge(ranked, sent(edge), "fine")
     lower = (F.col("coarse") < F.col("edge_coarse")) | ((F.col("coarse") == F.col("edge_coarse")) & (F.col("fine") < F.col("edge_fine")))
     at_edge = (F.col("coarse") == F.col("edge_coarse")) & (F.col("fine") == F.col("edge_fine"))
     in_order = Window.partitionBy("source", "at_edge", "spread").orderBy("place", id_col, "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
