@@ -21,6 +21,7 @@ the corpus needs; its followers by 32 bits.
 from __future__ import annotations
 
 import itertools
+import math
 import tempfile
 from dataclasses import dataclass
 
@@ -43,16 +44,23 @@ SLICE = 14 << 20
 END = mix(np.array([0xE0D], np.uint64))[0]
 START = mix(np.array([0x57A47], np.uint64))[0]
 
-#: Quantised log10 probabilities: code 0 is "none", code c stands for -(255 - c) * STEP.
-STEP = 12 / 254
+#: Quantised log10 probabilities: code 0 is "none", code c stands for -(255 - c) * step. Steps span these decades at least.
+DECADES = 12
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    code = 255 + np.round(np.log10(np.maximum(p, 1e-300)) / STEP)
+def step_for(tokens: int) -> float:
+    """The step whose smallest code is below all numbers of a model of so many training tokens."""
+    return max(DECADES, math.log10(4 * max(tokens, 1)) + 0.1) / 254
+
+
+def quantise(p: np.ndarray, step: float) -> np.ndarray:
+    code = 255 + np.round(np.log10(np.maximum(p, 1e-300)) / step)
     return np.where(p > 0, np.clip(code, 1, 255), 0).astype(np.uint8)
 
 
-DECODED = np.concatenate([[0.0], 10 ** (-(255 - np.arange(1, 256)) * STEP)])
+def decoded(step: float) -> np.ndarray:
+    """What each code stands for."""
+    return np.concatenate([[0.0], 10 ** (-(255 - np.arange(1, 256)) * step)])
 
 
 @dataclass
@@ -168,7 +176,7 @@ class Level:
     searched for within its context's range. Everything lives in a memory-mapped file.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, discount: float, step: float):
         """keys: context << 32 | follower, rising; counts: positive."""
         context = keys >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -178,8 +186,8 @@ class Level:
         self.contexts = EliasFano.build(context[first], 1 << 32)
         self.pointers = EliasFano.build(np.concatenate([first, [len(keys)]]), len(keys) + 1)
         self.followers = EliasFano.build(rank << np.uint64(32) | keys & np.uint64(0xFFFFFFFF), max(1, len(first)) << 32)
-        seen = quantise(np.maximum(counts - discount, 0) / np.repeat(total, sizes))
-        back_off = quantise(np.minimum(discount * sizes / np.maximum(total, 1), 1.0))
+        seen = quantise(np.maximum(counts - discount, 0) / np.repeat(total, sizes), step)
+        back_off = quantise(np.minimum(discount * sizes / np.maximum(total, 1), 1.0), step)
         levels = (self.contexts, self.pointers, self.followers)
         views = _mapped([a for x in levels for a in x.arrays()] + [seen, back_off])
         for k, x in enumerate(levels):
@@ -377,6 +385,8 @@ def score_documents(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (remainder(id_col, folds) == 0).alias("held"), F.col(text_col).alias("text"))
     total, distinct = vocabulary(rows.where("not held").select("text"), buckets)
     release_shuffles(docs.sparkSession)
+    step = step_for(total)  # the least number is (1 - discount) / total, or discount / total
+    codes = decoded(step)
 
     def post(frames):
         part, slices_done = TaskContext.get().partitionId(), itertools.count()
@@ -460,7 +470,7 @@ def score_documents(
         def grams_of(kind, bucket, messages):
             parts = [_unpacked_grams(blob) for _, blob in messages]
             keys, counts = summed(parts)
-            level = Level(keys[counts > 0], counts[counts > 0], discount)
+            level = Level(keys[counts > 0], counts[counts > 0], discount, step)
             for (name, _), (own, _) in zip(messages, parts, strict=True):
                 seen, back_off = level.look_up(*_runs(own))
                 yield {"dest": 0, "slice": name, "kind": kind, "bucket": bucket, "blob": pack(squeezed(seen), squeezed(back_off))}
@@ -493,9 +503,9 @@ def score_documents(
         for k in range(2, order + 1):
             g = Grams.of(t, k, buckets)
             both = answers(k, np.uint8, np.uint8)
-            seen = DECODED[np.concatenate([unsqueezed(x[0], np.uint8) for x in both])[g.back]]
+            seen = codes[np.concatenate([unsqueezed(x[0], np.uint8) for x in both])[g.back]]
             rest = np.repeat(np.concatenate([unsqueezed(x[1], np.uint8) for x in both]), np.diff(g.runs()))[g.back]
-            p = seen + np.where(rest == 0, 1.0, DECODED[rest]) * p  # a context never seen leaves all to the order below
+            p = seen + np.where(rest == 0, 1.0, codes[rest]) * p  # a context never seen leaves all to the order below
         n = len(ids)
         sums = [np.bincount(t.doc, np.log10(x), n) for x in (p1, p)]
         return pa.RecordBatch.from_arrays(

@@ -201,6 +201,15 @@ def test_squeezing():
         assert (ngram_lm.unsqueezed(ngram_lm.squeezed(x), kind) == x).all() and len(ngram_lm.unsqueezed(ngram_lm.squeezed(x[:0]), kind)) == 0
 
 
+def test_quantised_numbers_reach_as_far_as_the_corpus():
+    for tokens in (0, 1, 10**6, 10**12, 10**16):
+        step = ngram_lm.step_for(tokens)
+        p = np.array([1.0, 0.5, 0.25 / max(tokens, 1), 0.0])
+        back = ngram_lm.decoded(step)[ngram_lm.quantise(p, step)]
+        assert back[3] == 0 and np.abs(np.log10(back[:3] / p[:3])).max() <= step / 2 + 1e-9
+    assert ngram_lm.step_for(10**6) == ngram_lm.DECADES / 254
+
+
 # op7: automata
 
 
